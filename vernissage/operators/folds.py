@@ -113,12 +113,23 @@ def category_dictionary(train: DataFrame, field: str) -> DataFrame:
     return ranked.select("value", F.col("position").cast("int").alias("code"))
 
 
+# Dictionaries up to this many values are broadcast; larger ones are looked up by shuffle.
+BROADCAST_VALUES = 10_000
+
+
 def encode_categories(df: DataFrame, train: DataFrame, fields: Sequence[str], key: str = "id") -> DataFrame:
-    """Adds `<field>_code`; a value not seen in training is coded null."""
+    """Adds `<field>_code`; a value not seen in training is coded null.
+
+    Dictionary sizes are measured in one pass, so that only small ones are broadcast.
+    """
+    sizes = train.agg(*[F.approx_count_distinct(f).alias(f) for f in fields]).first()
     out = df
     for f in fields:
         codes = category_dictionary(train, f).select(
             F.col("value").alias(f), F.col("code").alias(f"{f}_code")
         )
-        out = spread_lookup(out, codes, [f], key)
-    return out
+        if sizes[f] <= BROADCAST_VALUES:
+            out = out.join(F.broadcast(codes), f, "left")
+        else:
+            out = spread_lookup(out, codes, [f], key)
+    return out.select(*df.columns, *[f"{f}_code" for f in fields])
