@@ -14,8 +14,8 @@ from vernissage.functions.textual import column_suffix
 
 def category_tokens(df: DataFrame, cat: str = "cat", keep: Sequence[str] = ()) -> DataFrame:
     """One row per non-empty token."""
-    token = F.trim(F.explode(F.split(F.coalesce(F.col(cat), F.lit("")), r"\|")))
-    return df.select(*keep, token.alias("token")).filter(F.col("token") != "")
+    parts = df.select(*keep, F.explode(F.split(F.coalesce(F.col(cat), F.lit("")), r"\|")).alias("token"))
+    return parts.withColumn("token", F.trim("token")).filter(F.col("token") != "")
 
 
 def top_tokens(df: DataFrame, cat: str = "cat", limit: int = fixed.TOP_CATEGORY_TOKENS) -> DataFrame:

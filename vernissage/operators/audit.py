@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vernissage.functions import caption, fixed
 from vernissage.operators.blend import accuracy
+from vernissage.operators.joins import spread_lookup
 from vernissage.operators.profile import share
 
 
@@ -85,3 +86,14 @@ def attribution_rules(df: DataFrame, min_support: int, group: str = "attribution
         (-F.col("best.neg")).alias("rule_class"),
         (F.col("best.n") / F.col("support")).alias("purity"),
     )
+
+
+def apply_rules(df: DataFrame, rules: DataFrame, min_purity: float, group: str = "attribution") -> DataFrame:
+    """Mined rules as overrides of the prediction, where pure enough."""
+    pure = rules.filter(F.col("purity") >= min_purity).select(group, "cap_y", "rule_class")
+    ruled = spread_lookup(df.select("id", group, "cap_y", "pred"), pure, [group, "cap_y"])
+    return ruled.select("id", "pred", F.coalesce("rule_class", "pred").alias("final"))
+
+
+def submission(decided: DataFrame) -> DataFrame:
+    return decided.select("id", F.col("pred").alias("y"))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -15,7 +16,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("id"), "image")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _levels(data: pd.Series) -> pd.Series:
     return data.map(lambda b: np.frombuffer(b, dtype=np.uint8).astype(np.int32))
 
