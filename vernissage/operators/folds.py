@@ -61,7 +61,8 @@ def out_of_fold_encoding(
     rest = rest.withColumn(
         "_enc", F.when(F.col("o_n") > 0, F.array(*[F.col(f"o_n_{k}") / F.col("o_n") for k in ks]))
     ).select(group, fold, "_enc")
-    found = spread_lookup(df, rest, [group, fold], key)
+    sizes = per_fold.filter(F.col(group).isNotNull()).select(group, fold, F.col("n").alias("_n"))
+    found = spread_lookup(df, rest, [group, fold], key, sizes)
     if strict_prior:
         found = found.join(F.broadcast(_prior_without_fold(df, label, fold, n_classes)), fold, "left")
         prior = F.col("_prior")

@@ -32,20 +32,22 @@ def restrict_to(side: DataFrame, base: DataFrame, key: str = "id") -> DataFrame:
     return side.join(base.select(key), key, "left_semi")
 
 
-def spread_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], row_id: str = "id") -> DataFrame:
+def spread_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], row_id: str = "id", sizes: DataFrame | None = None) -> DataFrame:
     """Left join of rows to a table that is unique by `keys`, where `keys` may be skewed or null in rows.
 
     Keys that hold more than a thousandth of the rows are answered from a
     broadcast of their table rows, of which there are fewer than a thousand. Those
     rows and rows with a null key then travel under a spread number instead of
-    their key, so no shuffle partition collects a hot group.
+    their key, so no shuffle partition collects a hot group. `sizes` (keys, _n) spares
+    the count of rows per key where the caller has it.
     """
     keys = list(keys)
     values = [c for c in table.columns if c not in keys]
     no_null = F.lit(True)
     for k in keys:
         no_null = no_null & F.col(k).isNotNull()
-    sizes = rows.filter(no_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes is None:
+        sizes = rows.filter(no_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_t")).scalar()
     hot = sizes.filter(F.col("_n") * HOT_SHARE > total).select(*keys)
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vernissage.functions import fixed
+from vernissage.session import land
 
 
 def words(text: Column) -> Column:
@@ -40,16 +41,27 @@ def document_words(docs: DataFrame, key: str = "id", text: str = "text") -> Data
     )
 
 
-def document_ngrams(docs: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(id, ngram, tf), partitioned by id; restricted to a vocabulary when one is given."""
+def document_ngrams(docs: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
+    """(id, ngram, tf), partitioned by id."""
     grams = document_words(docs, key, text).select(
         key, F.explode(word_ngrams(F.col("word"), sizes)).alias("ngram"), "n"
     )
-    if vocabulary is not None:
-        grams = grams.join(F.broadcast(vocabulary.select("ngram")), "ngram", "left_semi")
     return grams.groupBy(key, "ngram").agg(F.sum("n").alias("tf"))
 
 
+def vocabulary_counts(docs: DataFrame, vocabulary: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
+    """(id, position, tf) of the n-grams in a vocabulary, partitioned by id.
+
+    The vocabulary is small by its limit, hence the broadcast; n-grams are
+    counted under their number, not their text.
+    """
+    grams = document_words(docs, key, text).select(
+        key, F.explode(word_ngrams(F.col("word"), sizes)).alias("ngram"), "n"
+    )
+    known = grams.join(F.broadcast(vocabulary.select("ngram", "position")), "ngram")
+    return known.groupBy(key, "position").agg(F.sum("n").alias("tf"))
+
+
 def ngram_totals(docs: DataFrame, text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
     """Corpus count per n-gram. Words are counted over the corpus before they are cut up."""
     corpus_words = docs.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(
@@ -64,38 +76,45 @@ def fit_vocabulary(docs: DataFrame, text: str = "text", sizes: Sequence[int] = f
     return ngram_totals(docs, text, sizes).orderBy(F.desc("total"), "ngram").limit(limit)
 
 
-def fit_idf(docs: DataFrame, vocabulary: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
-    """(ngram, df, idf) with the smoothed idf ln((1 + n) / (1 + df)) + 1."""
-    seen = document_ngrams(docs, key, text, sizes, vocabulary)
+def fit_tfidf(docs: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES, limit: int = fixed.MAX_NGRAMS) -> DataFrame:
+    """Fitted table (ngram, position, df, idf), idf = ln((1 + n) / (1 + df)) + 1.
+
+    It has at most `limit` rows and is written to the shared folder, so that
+    every later transform reads it instead of fitting again.
+    """
+    order = Window.partitionBy(F.lit(0)).orderBy("ngram")  # at most `limit` rows
+    top = fit_vocabulary(docs, text, sizes, limit)
+    vocabulary = land(
+        top.select("ngram", (F.row_number().over(order) - 1).alias("position")), "vocabulary"
+    )
+    seen = vocabulary_counts(docs, vocabulary, key, text, sizes)
+    per_gram = seen.groupBy("position").agg(F.count(F.lit(1)).alias("df"))
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    per_gram = seen.groupBy("ngram").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
-    return per_gram.select("ngram", "df", idf.alias("idf"))
+    fitted = vocabulary.join(per_gram, "position").select("ngram", "position", "df", idf.alias("idf"))
+    return land(fitted, "tfidf")
 
 
-def tfidf(docs: DataFrame, idf: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
-    """(id, ngram, weight): (1 + ln tf) * idf with unit length per document.
-
-    `idf` has at most the vocabulary limit of rows, hence the broadcast.
-    """
-    counted = document_ngrams(docs, key, text, sizes, idf)
-    raw = counted.join(F.broadcast(idf.select("ngram", "idf")), "ngram").select(
-        key, "ngram", ((F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")).alias("_w")
+def tfidf_positions(docs: DataFrame, fitted: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
+    """(id, position, weight): (1 + ln tf) * idf with unit length per document."""
+    counted = vocabulary_counts(docs, fitted, key, text, sizes)
+    raw = counted.join(F.broadcast(fitted.select("position", "idf")), "position").select(
+        key, "position", ((F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")).alias("_w")
     )
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return raw.select(key, "ngram", (F.col("_w") / norm).alias("weight"))
+    return raw.select(key, "position", (F.col("_w") / norm).alias("weight"))
 
 
-def sparse_rows(weights: DataFrame, index: DataFrame, key: str = "id") -> DataFrame:
-    """(id, idx, val) arrays from the long form; a row holds at most one entry per vocabulary n-gram."""
-    placed = weights.join(F.broadcast(index), "ngram")
-    packed = placed.groupBy(key).agg(
+def tfidf(docs: DataFrame, fitted: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
+    """(id, ngram, weight)."""
+    names = F.broadcast(fitted.select("position", "ngram"))
+    weights = tfidf_positions(docs, fitted, key, text, sizes).join(names, "position")
+    return weights.select(key, "ngram", "weight")
+
+
+def sparse_rows(weights: DataFrame, key: str = "id") -> DataFrame:
+    """(id, idx, val) arrays from (id, position, weight); at most one entry per vocabulary n-gram."""
+    packed = weights.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("position", "weight"))).alias("_p")
     )
     return packed.select(key, F.col("_p.position").alias("idx"), F.col("_p.weight").alias("val"))
-
-
-def vocabulary_index(vocabulary: DataFrame) -> DataFrame:
-    """(ngram, position) in n-gram order; the vocabulary is small by its limit."""
-    order = Window.partitionBy(F.lit(0)).orderBy("ngram")
-    return vocabulary.select("ngram", (F.row_number().over(order) - 1).alias("position"))

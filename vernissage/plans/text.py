@@ -42,7 +42,7 @@ def _with(*parts: str) -> str:
 
 def documents(spark, sf):
     """Whole texts; every fifth document plays the unseen part in the transform query."""
-    docs = views.table(spark, sf, "documents")
+    docs = views.spread(views.table(spark, sf, "documents"), "doc_id")
     return docs.select(
         F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 5 != 4).alias("part")
     )
@@ -64,8 +64,7 @@ def ngram_vocab(spark, sf):
 )
 def tfidf_weights(spark, sf):
     docs = documents(spark, sf)
-    idf = tv.fit_idf(docs, tv.fit_vocabulary(docs))
-    return tv.tfidf(docs, idf).withColumn("weight", F.round("weight", 6))
+    return tv.tfidf(docs, tv.fit_tfidf(docs)).withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -75,6 +74,4 @@ def tfidf_weights(spark, sf):
 )
 def tfidf_transform(spark, sf):
     docs = documents(spark, sf)
-    seen = docs.filter("part")
-    idf = tv.fit_idf(seen, tv.fit_vocabulary(seen))
-    return tv.tfidf(docs.filter("not part"), idf).withColumn("weight", F.round("weight", 6))
+    return tv.tfidf(docs.filter("not part"), tv.fit_tfidf(docs.filter("part"))).withColumn("weight", F.round("weight", 6))

@@ -9,6 +9,7 @@ from vernissage.operators import blend, folds
 from vernissage.plans import views
 from vernissage.plans.registry import query
 from vernissage.plans.views import with_views
+from vernissage.session import land
 
 KS = range(fixed.N_CLASSES)
 
@@ -66,7 +67,9 @@ def _named(df):
 
 @query("oof_encode", with_views(_OOF, "folds"))
 def oof_encode(spark, sf):
-    encoded = folds.out_of_fold_encoding(_named(folded(spark, sf).select("id", "y", "attribution", "fold")))
+    # The fold table is read several times below, so it is written once.
+    rows = land(_named(folded(spark, sf).select("id", "y", "attribution", "fold")), "folds")
+    encoded = folds.out_of_fold_encoding(rows)
     return encoded.drop("y", "attribution")
 
 

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, pieces: int = 32) -> DataFrame:
+    """Cuts an input of few, large files by key; an input with enough splits stays as it is."""
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, pieces)
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+
+
 ARTWORKS = """
 select o_orderkey as id,
   case when o_orderkey % 20 = 7 or o_orderkey % 40 = 19 then cast((o_orderkey + 1) % 8 as int)
@@ -92,6 +98,7 @@ def artworks(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame
     sql = ARTWORKS
     if texts:
         sql, tables["documents"] = sql + WITH_TEXT, table(spark, sf_dir, "documents")
+        tables["orders"] = spread(tables["orders"], "o_orderkey")
     else:
         sql = sql.replace("text as t", "cast(null as string) as t")
     return spark.sql(sql, **tables)
