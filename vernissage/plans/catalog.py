@@ -5,9 +5,11 @@ from vernissage.plans import (  # noqa: F401
     features,
     imagery,
     knowledge,
+    modelling,
     relational,
     text,
     validation,
+    vectors,
 )
 from vernissage.plans.registry import CHECKS, QUERIES
 
