@@ -114,23 +114,33 @@ def category_dictionary(train: DataFrame, field: str) -> DataFrame:
     return ranked.select("value", F.col("position").cast("int").alias("code"))
 
 
-# Dictionaries up to this many values are broadcast; larger ones are looked up by shuffle.
+# Dictionaries up to LITERAL_VALUES sit in the expression, up to BROADCAST_VALUES they are
+# broadcast, larger ones are looked up by shuffle.
+LITERAL_VALUES = 256
 BROADCAST_VALUES = 10_000
 
 
 def encode_categories(df: DataFrame, train: DataFrame, fields: Sequence[str], key: str = "id") -> DataFrame:
     """Adds `<field>_code`; a value not seen in training is coded null.
 
-    Dictionary sizes are measured in one pass, so that only small ones are broadcast.
+    Dictionary sizes are measured first, so that only small ones are collected or broadcast.
     """
     sizes = train.agg(*[F.approx_count_distinct(f).alias(f) for f in fields]).first()
-    out = df
+    short = [f for f in fields if sizes[f] <= LITERAL_VALUES]
+    values = train.agg(F.lit(0).alias("_"), *[F.array_sort(F.collect_set(f)).alias(f) for f in short]).first()
+    codes = []
+    for f in short:
+        at = F.array_position(F.array(*[F.lit(v) for v in values[f]]).cast("array<string>"), F.col(f))
+        codes.append(F.when(at > 0, (at - 1).cast("int")).alias(f"{f}_code"))
+    out = df.select("*", *codes)
     for f in fields:
-        codes = category_dictionary(train, f).select(
+        if f in short:
+            continue
+        table = category_dictionary(train, f).select(
             F.col("value").alias(f), F.col("code").alias(f"{f}_code")
         )
         if sizes[f] <= BROADCAST_VALUES:
-            out = out.join(F.broadcast(codes), f, "left")
+            out = out.join(F.broadcast(table), f, "left")
         else:
-            out = spread_lookup(out, codes, [f], key)
+            out = spread_lookup(out, table, [f], key)
     return out.select(*df.columns, *[f"{f}_code" for f in fields])

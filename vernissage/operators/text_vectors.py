@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vernissage.functions import fixed
-from vernissage.session import land
+from vernissage.session import all_partitions, land
 
 
 def words(text: Column) -> Column:
@@ -35,7 +35,7 @@ def word_ngrams(word: Column, sizes: Sequence[int] = fixed.NGRAM_SIZES) -> Colum
 
 def document_words(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(id, word, n), partitioned by id."""
-    spread = docs.select(key, text).repartition(F.col(key))
+    spread = all_partitions(docs.select(key, text), key)
     return spread.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(
         F.count(F.lit(1)).alias("n")
     )

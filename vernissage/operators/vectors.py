@@ -74,24 +74,18 @@ class TruncatedSvd:
     def scores(self, rows: DataFrame, key: str = "id", prefix: str = "svd_") -> DataFrame:
         """Row scores X V as columns <prefix>0, <prefix>1, ..."""
         components = self.components
-        columns = [F.col("vec")] if "vec" in rows.columns else [F.col("idx"), F.col("val")]
+        columns = ["vec"] if "vec" in rows.columns else ["idx", "val"]
 
-        def project(batches: Iterator) -> Iterator[pd.Series]:
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
             for batch in batches:
-                batch = batch if isinstance(batch, tuple) else (batch,)
-                yield pd.Series(list(_dense(batch, components.shape[0]) @ components))
+                dense = _dense(tuple(batch[c] for c in columns), components.shape[0])
+                yield pd.Series(list(dense @ components))
 
-        udf = F.pandas_udf(project, T.ArrayType(T.DoubleType()), _kind(len(columns)))
-        scored = rows.select(key, udf(*columns).alias("_s"))
+        scored = rows.select(key, project(F.struct(*columns)).alias("_s"))
         return scored.select(key, *[F.col("_s")[i].alias(f"{prefix}{i}") for i in range(components.shape[1])])
 
 
-def _kind(n_columns: int):
-    from pyspark.sql.pandas.functions import PandasUDFType
-
-    return PandasUDFType.SCALAR_ITER
-
-
 def _dense(batch: tuple[pd.Series, ...], n_features: int) -> np.ndarray:
     if len(batch) == 1:
         return np.stack(batch[0].to_numpy()).astype(float)

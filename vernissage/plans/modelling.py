@@ -10,41 +10,56 @@ from vernissage.operators import audit, blend, folds, images, joins, models, vec
 from vernissage.operators import text_vectors as tv
 from vernissage.plans import knowledge, views
 from vernissage.plans.registry import query
-from vernissage.session import land
+from vernissage.session import land, land_once
 
 KEEP = ("id", "y", "split", "fold")
 SMALL_FOREST = {"trees": 12, "depth": 7}
-SMALL_BOOST = {"rounds": 4, "depth": 4, "step": 0.3}
+THREADS = 5
+SMALL_BOOST = {"rounds": 3, "depth": 3, "step": 0.3}
 
 
-def record_matrix(spark, sf, seed=42, with_text=False, with_images=False):
-    """Numeric feature table of all records, with folds, encodings and evidence attached by id."""
-    records = views.artworks(spark, sf, texts=True)
-    train = records.filter("split = 'train'")
-    fitted = RecordFeatures.fit(train)
-    wide = land(fitted.apply(records), "record-features")
-    train_wide, test_wide = wide.filter("split = 'train'"), wide.filter("split = 'test'")
-    folded = land(folds.assign_folds(train_wide.select("id", "y", "attribution"), seed), "folds")
-    encoded = joins.union_rows(
+def record_features(spark, sf):
+    """Scalar features, category codes and graph evidence; the same for every seed, so written once."""
+
+    def build():
+        records = views.artworks(spark, sf, texts=True)
+        train = records.filter("split = 'train'")
+        wide = RecordFeatures.fit(train).apply(records)
+        coded = folds.encode_categories(wide, train, fixed.CATEGORY_FIELDS)
+        return joins.attach_evidence(coded, knowledge.facts(spark, sf))
+
+    return land_once(spark, ("record-features", sf), build)
+
+
+def encodings(features, seed):
+    """(id, fold, artist_enc_*): out of fold for training rows, from all training rows for the others (fold -1)."""
+    train, test = features.filter("split = 'train'"), features.filter("split = 'test'")
+    folded = land(folds.assign_folds(train.select("id", "y", "attribution"), seed), "folds")
+    return joins.union_rows(
         folds.out_of_fold_encoding(folded).drop("y", "attribution"),
-        folds.full_encoding(folded, test_wide.select("id", "attribution"))
-        .drop("attribution")
-        .withColumn("fold", F.lit(-1)),
+        folds.full_encoding(folded, test.select("id", "attribution")).drop("attribution").withColumn("fold", F.lit(-1)),
     )
-    features = [c for c in feature_columns(wide.columns) if c not in (*fixed.CATEGORY_FIELDS, "split")]
-    coded = folds.encode_categories(wide, train_wide, fixed.CATEGORY_FIELDS)
-    codes = [f"{f}_code" for f in fixed.CATEGORY_FIELDS]
-    out = coded.select("id", "y", "split", *features, *codes).join(encoded, "id")
-    out = joins.attach_evidence(out, knowledge.facts(spark, sf))
+
+
+def text_scores(features, seed):
+    """(id, svd_*): TF-IDF and SVD learned on training rows, applied to all."""
+    texts = features.select("id", "split", F.col("_concat_text").alias("text"))
+    learned = tv.fit_tfidf(texts.filter("split = 'train'"))
+    rows = land(tv.sparse_rows(tv.tfidf_positions(texts, learned)), "text-rows")
+    seen = rows.join(texts.filter("split = 'train'").select("id"), "id", "left_semi")
+    return vectors.TruncatedSvd.fit(seen, fixed.MAX_NGRAMS, 50, seed=seed).scores(rows)
+
+
+def record_matrix(spark, sf, seed=42, with_text=False, with_images=False):
+    """Numeric feature table of all records, with folds, encodings and evidence attached by id."""
+    features = record_features(spark, sf)
+    not_numeric = (*fixed.CATEGORY_FIELDS, "split")
+    names = [c for c in feature_columns(features.columns) if c not in not_numeric]
+    out = features.select("id", "y", "split", *names).join(encodings(features, seed), "id")
     if with_images:
         out = joins.attach_evidence(out, images.image_features(views.pixels(spark, sf)))
     if with_text:
-        texts = wide.select("id", "split", F.col("_concat_text").alias("text"))
-        learned = tv.fit_tfidf(texts.filter("split = 'train'"))
-        rows = land(tv.sparse_rows(tv.tfidf_positions(texts, learned)), "text-rows")
-        seen = rows.join(train_wide.select("id"), "id", "left_semi")
-        svd = vectors.TruncatedSvd.fit(seen, fixed.MAX_NGRAMS, 50, seed=seed)
-        out = joins.attach_evidence(out, svd.scores(rows))
+        out = joins.attach_evidence(out, text_scores(features, seed))
     return out
 
 
@@ -53,10 +68,10 @@ def numeric_names(matrix):
 
 
 def assembled(spark, sf, seed=42):
-    """(train, test, feature names); landed once, since every fold reads it."""
-    matrix = record_matrix(spark, sf, seed)
+    """(train, test, feature names); written once, since every fold reads it."""
+    matrix = land_once(spark, ("record-matrix", sf, seed), lambda: record_matrix(spark, sf, seed))
     names = numeric_names(matrix)
-    rows = land(models.assemble(matrix, names, KEEP), "matrix")
+    rows = models.assemble(matrix, names, KEEP)
     return rows.filter("split = 'train'"), rows.filter("split = 'test'"), names
 
 
@@ -78,39 +93,42 @@ def training_matrix(spark, sf):
 def oof_trees(spark, sf):
     train, _, _ = assembled(spark, sf)
     fit = models.BoostedOneVsRest(**SMALL_BOOST)
-    return listed(models.out_of_fold(train, fit)[0])
+    return listed(models.out_of_fold(train, fit, parallelism=THREADS)[0])
 
 
 @query("oof_trees_alt")
 def oof_trees_alt(spark, sf):
     train, _, _ = assembled(spark, sf)
-    return listed(models.out_of_fold(train, models.forest(**SMALL_FOREST))[0])
+    return listed(models.out_of_fold(train, models.forest(**SMALL_FOREST), parallelism=THREADS)[0])
 
 
 def linear_rows(spark, sf, seed=42):
     """Caption flags and text scores, nulls as 0."""
-    matrix = record_matrix(spark, sf, seed, with_text=True)
-    names = [c for c in matrix.columns if c.startswith(("svd_", "cap_is_"))]
-    return land(models.assemble(matrix, names, KEEP, missing=0.0), "linear-matrix")
+    features = record_features(spark, sf)
+    flags = [c for c in features.columns if c.startswith("cap_is_")]
+    train = features.filter("split = 'train'").select("id", "y", "split", *flags)
+    rows = folds.assign_folds(train, seed).join(text_scores(features, seed), "id")
+    names = [c for c in rows.columns if c.startswith(("svd_", "cap_is_"))]
+    return land(models.assemble(rows, names, KEEP, missing=0.0), "linear-matrix")
 
 
 @query("oof_logreg")
 def oof_logreg(spark, sf):
-    train = linear_rows(spark, sf).filter("split = 'train'")
-    return listed(models.out_of_fold(train, models.elastic_net(iterations=50))[0])
+    return listed(models.out_of_fold(linear_rows(spark, sf), models.elastic_net(iterations=50), parallelism=THREADS)[0])
 
 
 def stacked(spark, sf):
     """Out-of-fold blocks of three base models next to the meta features."""
-    matrix = land(record_matrix(spark, sf).filter("split = 'train'"), "matrix")
+    matrix = land_once(spark, ("record-matrix", sf, 42), lambda: record_matrix(spark, sf))
+    matrix = matrix.filter("split = 'train'")
     names = numeric_names(matrix)
     caption_flags = [c for c in names if c.startswith("cap_is_")]
     rows = models.assemble(matrix, names, KEEP)
     linear = models.assemble(matrix, caption_flags, KEEP, missing=0.0)
     blocks = {
-        "boosted": models.out_of_fold(rows, models.BoostedOneVsRest(rounds=2, depth=3, step=0.3))[0],
-        "forest": models.out_of_fold(rows, models.forest(**SMALL_FOREST))[0],
-        "linear": models.out_of_fold(linear, models.elastic_net(iterations=30))[0],
+        "boosted": models.out_of_fold(rows, models.BoostedOneVsRest(rounds=2, depth=3, step=0.3), parallelism=THREADS)[0],
+        "forest": models.out_of_fold(rows, models.forest(**SMALL_FOREST), parallelism=THREADS)[0],
+        "linear": models.out_of_fold(linear, models.elastic_net(iterations=30), parallelism=THREADS)[0],
     }
     meta = matrix.select(*KEEP, *fixed.META_FEATURES, *caption_flags)
     return models.bind_blocks(blocks, meta)
@@ -125,14 +143,14 @@ def stack_inputs(spark, sf):
 def stack(spark, sf):
     bound = land(stacked(spark, sf), "stack")
     rows = models.assemble(bound, numeric_names(bound), KEEP)
-    return listed(models.out_of_fold(rows, models.forest(trees=10, depth=4, feature_share="auto"))[0])
+    return listed(models.out_of_fold(rows, models.forest(trees=10, depth=4, feature_share="auto"), parallelism=THREADS)[0])
 
 
 @query("refit_full")
 def refit_full(spark, sf):
     train, test, _ = assembled(spark, sf)
     fit = models.BoostedOneVsRest(**SMALL_BOOST)
-    models.out_of_fold(train, fit)
+    models.out_of_fold(train, fit, parallelism=THREADS)
     longer = models.BoostedOneVsRest(**{**SMALL_BOOST, "rounds": models.refit_rounds(fit.rounds_used)})
     return listed(longer(train)(test).select("id", "probs"))
 
@@ -142,7 +160,7 @@ def blend_compare(spark, sf):
     by_seed = {}
     for seed in fixed.WIDE_BLEND_SEEDS:
         train, _, _ = assembled(spark, sf, seed)
-        oof = models.out_of_fold(train, models.forest(trees=6, depth=6, seed=seed))[0]
+        oof = models.out_of_fold(train, models.forest(trees=5, depth=5, seed=seed), parallelism=THREADS)[0]
         by_seed[seed] = land(oof.select("id", "y", "probs"), "oof")
     return models.compare_blends(by_seed, {"three": fixed.BLEND_SEEDS, "five": fixed.WIDE_BLEND_SEEDS})
 
@@ -151,7 +169,7 @@ def blend_compare(spark, sf):
 def model_overrides(spark, sf):
     """Confident contradictions of the caption by real test predictions."""
     train, test, _ = assembled(spark, sf)
-    _, averaged = models.out_of_fold(train, models.forest(**SMALL_FOREST), test)
+    _, averaged = models.out_of_fold(train, models.forest(**SMALL_FOREST), test, parallelism=THREADS)
     records = audit.with_weak_label(views.test_rows(spark, sf, texts=True))
     return audit.overrides(records.join(blend.decide(averaged), "id"))
 

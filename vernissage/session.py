@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,8 +47,33 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def all_partitions(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning into the session's shuffle partitions, kept even when the rows are few.
+
+    For rows that are small to move but heavy to work on (n-grams, model fits).
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def land(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_LANDED: dict[tuple, str] = {}
+
+
+def land_once(spark: SparkSession, name: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """Table written once per application and read by every later step that names it."""
+    name = (spark.sparkContext.applicationId, *name)
+    if name in _LANDED:
+        try:
+            return spark.read.parquet(_LANDED[name])
+        except AnalysisException:  # the folder was cleaned up
+            del _LANDED[name]
+    path = fresh_path(spark, str(name[1]))
+    build().write.parquet(path)
+    _LANDED[name] = path
+    return spark.read.parquet(path)
