@@ -1,0 +1,5 @@
+"""No streaming operators: every input is a bounded table.
+
+`functions.record.RecordFeatures.apply` is one stateless projection, so a
+fitted projection can be applied to a streaming frame as it is.
+"""
