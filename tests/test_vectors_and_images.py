@@ -60,25 +60,28 @@ def brute_tfidf(texts, limit):
 
 def test_tfidf_matches_brute_force(spark):
     docs = docs_frame(spark, TEXTS)
-    fitted = tv.fit_tfidf(docs, limit=25)
-    got = {(r.id, r.ngram): r.weight for r in tv.tfidf(docs, fitted).collect()}
+    fitted, counts = tv.fit_counts(docs, limit=25)
+    got = {(r.id, r.ngram): r.weight for r in tv.long_form(tv.weigh(counts, fitted), fitted).collect()}
     want = brute_tfidf(TEXTS, 25)
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
+    again = {(r.id, r.ngram): r.weight for r in tv.long_form(tv.transform(docs, fitted), fitted).collect()}
+    assert again == got
 
 
-def test_svd_matches_numpy(spark):
+@pytest.mark.parametrize(("iterations", "oversample"), [(12, 0), (5, 8)])
+def test_svd_matches_numpy(spark, iterations, oversample):
     x = np.random.default_rng(3).normal(size=(60, 12)) * np.linspace(5, 0.5, 12)
     rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
-    fitted = vectors.TruncatedSvd.fit(rows, 12, 4, iterations=12)
+    fitted = vectors.TruncatedSvd.fit(rows, 12, 4, iterations=iterations, oversample=oversample)
     u, s, _ = np.linalg.svd(x, full_matrices=False)
-    assert fitted.singular_values == pytest.approx(s[:4], rel=1e-6)
+    assert fitted.singular_values == pytest.approx(s[:4], rel=1e-4)
     scores = np.array([list(r)[1:] for r in fitted.scores(rows).orderBy("id").collect()])
-    assert np.abs(scores) == pytest.approx(np.abs(u[:, :4] * s[:4]), rel=1e-3, abs=1e-3)
-    assert scores.T @ scores == pytest.approx(np.diag(s[:4] ** 2), abs=1e-3)
+    assert np.abs(scores) == pytest.approx(np.abs(u[:, :4] * s[:4]), rel=1e-2, abs=0.3)
+    assert scores.T @ scores == pytest.approx(np.diag(s[:4] ** 2), rel=1e-3, abs=1e-3)
     assert fitted.explained_ratio == pytest.approx(scores.var(axis=0).sum() / x.var(axis=0).sum())
     sparse = rows.select("id", F.expr("transform(sequence(0, 11), i -> i)").alias("idx"), F.col("vec").alias("val"))
-    same = vectors.TruncatedSvd.fit(sparse, 12, 4, iterations=12)
+    same = vectors.TruncatedSvd.fit(sparse, 12, 4, iterations=iterations, oversample=oversample)
     assert same.singular_values == pytest.approx(fitted.singular_values)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,3 +47,18 @@ def fill(c: str | Column, value) -> Column:
 
 def fill_numeric(columns: Sequence[str], value: float) -> list[Column]:
     return [fill(F.col(c).cast("double"), float(value)).alias(c) for c in columns]
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row, also where `use` needs it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scaled(v: Column, divisor: Callable[[Column], Column]) -> Column:
+    """Array divided by a number that is computed from the whole array."""
+    return once(v, lambda a: once(divisor(a), lambda d: F.transform(a, lambda x: x / d)))
+
+
+def length_of(v: Column) -> Column:
+    """Euclidean length of an array."""
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vernissage.functions import fixed
+from vernissage.functions.numeric import length_of, once, scaled
 from vernissage.session import all_partitions, land
 
 
@@ -76,45 +77,60 @@ def fit_vocabulary(docs: DataFrame, text: str = "text", sizes: Sequence[int] = f
     return ngram_totals(docs, text, sizes).orderBy(F.desc("total"), "ngram").limit(limit)
 
 
-def fit_tfidf(docs: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES, limit: int = fixed.MAX_NGRAMS) -> DataFrame:
-    """Fitted table (ngram, position, df, idf), idf = ln((1 + n) / (1 + df)) + 1.
+def count_rows(docs: DataFrame, vocabulary: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
+    """(id, idx, tf) arrays, one row per document with at most one entry per vocabulary n-gram."""
+    packed = vocabulary_counts(docs, vocabulary, key, text, sizes).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("position", "tf"))).alias("_p")
+    )
+    return packed.select(key, F.col("_p.position").alias("idx"), F.col("_p.tf").alias("tf"))
+
+
+def fit_counts(docs: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES, limit: int = fixed.MAX_NGRAMS) -> tuple[DataFrame, DataFrame]:
+    """Fitted table (ngram, position, df, idf) and the counts of the documents it was fitted on.
 
-    It has at most `limit` rows and is written to the shared folder, so that
-    every later transform reads it instead of fitting again.
+    idf = ln((1 + n) / (1 + df)) + 1. Both are written to the shared folder:
+    the texts are cut into n-grams once for fitting and weighing together.
     """
     order = Window.partitionBy(F.lit(0)).orderBy("ngram")  # at most `limit` rows
     top = fit_vocabulary(docs, text, sizes, limit)
     vocabulary = land(
         top.select("ngram", (F.row_number().over(order) - 1).alias("position")), "vocabulary"
     )
-    seen = vocabulary_counts(docs, vocabulary, key, text, sizes)
-    per_gram = seen.groupBy("position").agg(F.count(F.lit(1)).alias("df"))
+    counts = land(count_rows(docs, vocabulary, key, text, sizes), "ngram-counts")
+    per_gram = counts.select(F.explode("idx").alias("position")).groupBy("position").agg(
+        F.count(F.lit(1)).alias("df")
+    )
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     fitted = vocabulary.join(per_gram, "position").select("ngram", "position", "df", idf.alias("idf"))
-    return land(fitted, "tfidf")
+    return land(fitted, "tfidf"), counts
+
 
+def weigh(counts: DataFrame, fitted: DataFrame, key: str = "id") -> DataFrame:
+    """(id, idx, val): (1 + ln tf) * idf with unit length per document, without a shuffle.
 
-def tfidf_positions(docs: DataFrame, fitted: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
-    """(id, position, weight): (1 + ln tf) * idf with unit length per document."""
-    counted = vocabulary_counts(docs, fitted, key, text, sizes)
-    raw = counted.join(F.broadcast(fitted.select("position", "idf")), "position").select(
-        key, "position", ((F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")).alias("_w")
+    The idf values travel as one array of at most the vocabulary limit.
+    """
+    in_order = F.array_sort(F.collect_list(F.struct("position", "idf")))
+    idf = fitted.agg(F.transform(in_order, lambda p: p["idf"]).alias("idf")).scalar()
+    weights = once(
+        F.col("_idf"),
+        lambda table: F.zip_with(
+            "idx", "tf", lambda i, n: (F.log(n.cast("double")) + 1.0) * F.get(table, i)
+        ),
     )
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return raw.select(key, "position", (F.col("_w") / norm).alias("weight"))
+    placed = counts.withColumn("_idf", idf)
+    return placed.select(key, "idx", scaled(weights, length_of).alias("val"))
 
 
-def tfidf(docs: DataFrame, fitted: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
-    """(id, ngram, weight)."""
-    names = F.broadcast(fitted.select("position", "ngram"))
-    weights = tfidf_positions(docs, fitted, key, text, sizes).join(names, "position")
-    return weights.select(key, "ngram", "weight")
+def transform(docs: DataFrame, fitted: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
+    """Weights of other documents under a fitted vocabulary."""
+    return weigh(count_rows(docs, fitted, key, text, sizes), fitted, key)
 
 
-def sparse_rows(weights: DataFrame, key: str = "id") -> DataFrame:
-    """(id, idx, val) arrays from (id, position, weight); at most one entry per vocabulary n-gram."""
-    packed = weights.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("position", "weight"))).alias("_p")
-    )
-    return packed.select(key, F.col("_p.position").alias("idx"), F.col("_p.weight").alias("val"))
+def long_form(rows: DataFrame, fitted: DataFrame, key: str = "id") -> DataFrame:
+    """(id, ngram, weight)."""
+    entry = rows.select(key, F.explode(F.arrays_zip("idx", "val")).alias("e"))
+    placed = entry.select(key, F.col("e.idx").alias("position"), F.col("e.val").alias("weight"))
+    names = F.broadcast(fitted.select("position", "ngram"))
+    return placed.join(names, "position").select(key, "ngram", "weight")

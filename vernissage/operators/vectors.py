@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vernissage.functions.numeric import length_of, once, scaled
+
 
 def batch_inference(make_predict: Callable, size: int, batch_size: int = 64):
     """Column function of a caller's model: one array in, one vector out, in Arrow batches."""
@@ -30,8 +32,14 @@ def with_zero_vectors(ids: DataFrame, vectors: DataFrame, size: int, key: str =
 def l2_normalised(vec: str | Column = "vec") -> Column:
     """Unit-length vector; a zero vector stays as it is."""
     v = F.col(vec) if isinstance(vec, str) else vec
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+
+    def divisor(a: Column) -> Column:
+        return once(length_of(a), lambda n: F.when(n == 0, F.lit(1.0)).otherwise(n))
+
+    return scaled(v, divisor)
+
+
+NARROW = 4
 
 
 @dataclass(frozen=True)
@@ -54,7 +62,11 @@ class TruncatedSvd:
         columns = ["vec"] if "vec" in rows.columns else ["idx", "val"]
         data = rows.select(*columns).persist()
         try:
-            basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_features, width)))[0]
+            if n_features <= NARROW * width:  # the whole Gram matrix in one pass
+                basis, iterations = np.eye(n_features), 0
+            else:
+                start = np.random.default_rng(seed).normal(size=(n_features, width))
+                basis = np.linalg.qr(start)[0]
             for _ in range(iterations):
                 product, _, _, _ = _gram_times(data, basis)
                 basis = np.linalg.qr(product)[0]
@@ -74,15 +86,20 @@ class TruncatedSvd:
     def scores(self, rows: DataFrame, key: str = "id", prefix: str = "svd_") -> DataFrame:
         """Row scores X V as columns <prefix>0, <prefix>1, ..."""
         components = self.components
-        columns = ["vec"] if "vec" in rows.columns else ["idx", "val"]
+        n_features = components.shape[0]
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def of_dense(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for vec in batches:
+                yield pd.Series(list(_dense((vec,), n_features) @ components))
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        def of_sparse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             for batch in batches:
-                dense = _dense(tuple(batch[c] for c in columns), components.shape[0])
-                yield pd.Series(list(dense @ components))
+                yield pd.Series(list(_dense(batch, n_features) @ components))
 
-        scored = rows.select(key, project(F.struct(*columns)).alias("_s"))
+        score = of_dense("vec") if "vec" in rows.columns else of_sparse("idx", "val")
+        scored = rows.select(key, score.alias("_s"))
         return scored.select(key, *[F.col("_s")[i].alias(f"{prefix}{i}") for i in range(components.shape[1])])
 
 

@@ -44,10 +44,11 @@ def encodings(features, seed):
 def text_scores(features, seed):
     """(id, svd_*): TF-IDF and SVD learned on training rows, applied to all."""
     texts = features.select("id", "split", F.col("_concat_text").alias("text"))
-    learned = tv.fit_tfidf(texts.filter("split = 'train'"))
-    rows = land(tv.sparse_rows(tv.tfidf_positions(texts, learned)), "text-rows")
-    seen = rows.join(texts.filter("split = 'train'").select("id"), "id", "left_semi")
-    return vectors.TruncatedSvd.fit(seen, fixed.MAX_NGRAMS, 50, seed=seed).scores(rows)
+    fitted, counts = tv.fit_counts(texts.filter("split = 'train'"))
+    seen = land(tv.weigh(counts, fitted), "text-rows")
+    svd = vectors.TruncatedSvd.fit(seen, fixed.MAX_NGRAMS, 50, seed=seed)
+    others = land(tv.transform(texts.filter("split = 'test'"), fitted), "text-rows")
+    return joins.union_rows(svd.scores(seen), svd.scores(others))
 
 
 def record_matrix(spark, sf, seed=42, with_text=False, with_images=False):

@@ -63,8 +63,8 @@ def ngram_vocab(spark, sf):
     _with(_WORDS, _GRAMS, _fitted("true")) + " select id, ngram, round(weight, 6) as weight from weights",
 )
 def tfidf_weights(spark, sf):
-    docs = documents(spark, sf)
-    return tv.tfidf(docs, tv.fit_tfidf(docs)).withColumn("weight", F.round("weight", 6))
+    fitted, counts = tv.fit_counts(documents(spark, sf))
+    return tv.long_form(tv.weigh(counts, fitted), fitted).withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -74,4 +74,6 @@ def tfidf_weights(spark, sf):
 )
 def tfidf_transform(spark, sf):
     docs = documents(spark, sf)
-    return tv.tfidf(docs.filter("not part"), tv.fit_tfidf(docs.filter("part"))).withColumn("weight", F.round("weight", 6))
+    fitted, _ = tv.fit_counts(docs.filter("part"))
+    rows = tv.transform(docs.filter("not part"), fitted)
+    return tv.long_form(rows, fitted).withColumn("weight", F.round("weight", 6))

@@ -9,6 +9,7 @@ from vernissage.operators import text_vectors as tv
 from vernissage.operators import vectors
 from vernissage.plans import text, views
 from vernissage.plans.registry import query
+from vernissage.session import land
 
 SIZE = 64
 SVD_TEXT, SVD_VECTORS = 50, 32
@@ -54,7 +55,8 @@ def l2_normalise(spark, sf):
 
 
 def _unit(spark, sf):
-    return views.embeddings(spark, sf).select("id", vectors.l2_normalised().alias("vec"))
+    """Unit vectors, written once: fitting and scoring both read them."""
+    return land(views.embeddings(spark, sf).select("id", vectors.l2_normalised().alias("vec")), "unit-vectors")
 
 
 @query("embedding_svd")
@@ -74,6 +76,6 @@ def svd_explained(spark, sf):
 
 @query("text_svd")
 def text_svd(spark, sf):
-    docs = text.documents(spark, sf)
-    rows = tv.sparse_rows(tv.tfidf_positions(docs, tv.fit_tfidf(docs)))
+    fitted, counts = tv.fit_counts(text.documents(spark, sf))
+    rows = land(tv.weigh(counts, fitted), "text-rows")
     return vectors.TruncatedSvd.fit(rows, fixed.MAX_NGRAMS, SVD_TEXT).scores(rows)
