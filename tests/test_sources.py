@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import types as T
 
 from vernissage.session import land, land_once, shared_dir
@@ -20,6 +21,9 @@ def test_csv_with_crlf_quotes_and_null_text(spark, tmp_path):
     assert got[1].dim == "a\r\nb" and got[1].note == 'say "hi"' and got[1].y0 == 1900.0
     assert got[2].dim is None and got[2].y0 is None and got[2].note == "last"
     assert got[3].dim == "x, y" and got[3].y0 is None and got[3].note is None
+    wrong = T.StructType(SCHEMA.fields[::-1])
+    with pytest.raises(ValueError, match="differ"):
+        records.read_records(spark, str(path), wrong)
 
 
 def test_predictions_roundtrip(spark, tmp_path):

@@ -19,11 +19,18 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, null_toke
     is kept. Multi-line files are not splittable, so land the result as Parquet
     when a table is read more than once.
     """
+    # Checked here, because a CRLF header ends in a carriage return for the reader.
+    header = spark.read.text(path, lineSep="\n").first()
+    if header is None:
+        raise ValueError(f"no header in {path}")
+    names = [n.strip('"') for n in header.value.rstrip("\r").split(",")]
+    if names != schema.names:
+        raise ValueError(f"CSV columns {names} differ from the schema {schema.names}")
     last = schema.fields[-1].name
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     raw = spark.read.csv(
         path, schema=text, header=True, multiLine=True, quote='"', escape='"', lineSep="\n",
-        enforceSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
 
     def typed(field: T.StructField) -> Column:
