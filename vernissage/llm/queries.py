@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vernissage.llm import mixing
+from vernissage.llm import exact, mixing, pii
 from vernissage.llm.text import table
 
 QUERIES = {}
@@ -53,3 +53,26 @@ select doc_id, size, source_size, target,
   cast((whole + case when odds is not null and earlier + size / 2.0 <= open then 1 else 0 end) * size as bigint) as taken
 from summed
 """
+
+
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact.exact_duplicates(spark, docs).drop("content")
+
+
+CHECKS["op8_exact_dedup"] = r"""
+with told as (
+  select doc_id, length(coalesce(text, '')) as points,
+    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents),
+ranked as (
+  select *, count(*) over (partition by text_sha256) as group_size,
+    first_value(doc_id) over (partition by text_sha256 order by points desc, doc_id nulls last) as keep_id,
+    row_number() over (partition by text_sha256 order by points desc, doc_id nulls last) as place from told)
+select doc_id, keep_id, group_size, place = 1 as kept, text_sha256 from ranked
+"""
