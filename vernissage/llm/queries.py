@@ -19,7 +19,7 @@ def query(build):
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 CHECKS["op7_mixing"] = r"""
@@ -76,3 +76,9 @@ ranked as (
     row_number() over (partition by text_sha256 order by points desc, doc_id nulls last) as place from told)
 select doc_id, keep_id, group_size, place = 1 as kept, text_sha256 from ranked
 """
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
