@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_ALL = (1 << 64) - 1
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -65,7 +66,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
     """64-bit hash of each word: a polynomial in its bytes over 2**64, scrambled, by prefix sums."""
-    codes = mixed(np.arange(256, dtype=np.uint64) + np.uint64(seed) * _ODD)
+    codes = mixed(np.arange(256, dtype=np.uint64) + np.uint64(seed * int(_ODD) & _ALL))
     base = int(mixed(np.array([seed + 1], dtype=np.uint64))[0]) | 1
     inverse = pow(base, -1, 2**64)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -83,3 +84,23 @@ def window_hashes(words: np.ndarray, n: int, seed: int) -> np.ndarray:
     np.cumsum(words * _powers(base, len(words)), dtype=np.uint64, out=sums[1:])
     back = _powers(pow(base, -1, 2**64), len(words) - n + 1)
     return mixed((sums[n:] - sums[:-n]) * back)
+
+
+def slices(texts: pa.Array, limit: int) -> list[tuple[int, int]]:
+    """Row ranges of about `limit` bytes of text; a longer text is a range of its own or ends one."""
+    lengths = np.cumsum(np.diff(text_bytes(texts)[1]))
+    cuts = (np.flatnonzero(np.diff(lengths // limit)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(texts)], strict=True))
+
+
+def token_spans(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like word_spans, for maximal runs of bytes of one class; class 0 separates."""
+    kind = classes[data]
+    edge = np.ones(len(data) + 1, dtype=bool)
+    edge[1:-1] = kind[1:] != kind[:-1]
+    edge[offsets] = True
+    at = np.flatnonzero(edge)
+    start, end = at[:-1], at[1:]
+    real = kind[start] > 0
+    start, end = start[real], end[real]
+    return start, end, np.searchsorted(start, offsets)

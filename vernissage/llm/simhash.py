@@ -61,9 +61,7 @@ def fingerprint_bytes(texts: pa.Array, words: int = WORDS, seed: int = SEED) ->
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1)
-        lengths = np.cumsum(np.diff(bw.text_bytes(texts)[1]))
-        cuts = np.flatnonzero(np.diff(lengths // _SLICE_BYTES)) + 1
-        parts = [fingerprint_bytes(texts.slice(a, b - a)) for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True)]
+        parts = [fingerprint_bytes(texts.slice(a, b - a)) for a, b in bw.slices(texts, _SLICE_BYTES)]
         codes = np.concatenate(parts).view(">i8").ravel().astype(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes)], names=["doc", "code"])
 
