@@ -16,6 +16,7 @@ from vernissage.session import land
 
 # Bytes of letters, digits and non-ASCII text are one class, other visible bytes the other.
 _CLASSES = np.where(bw.SPACE_BYTES, 0, np.where(bw.NOT_ALNUM_BYTES, 2, 1)).astype(np.uint8)
+_CLASSES[ord("A") : ord("Z") + 1] = 1
 _SLICE_BYTES = 1 << 20
 _WORD_SEED, _INDEX_SEED = 11, 12
 
