@@ -59,6 +59,7 @@ def run_to_end(spark: SparkSession, path: str, schema: T.StructType, checkpoint:
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_PROVIDER)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     source = session.readStream.schema(schema)
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
@@ -100,9 +101,8 @@ def exact_duplicates(
     shared = state.filter("members > 1")
     normal = without_spaces(F.col(text))
     full = docs.select(digest(normal).alias("digest"), locator(docs, text).alias("content"), normal.alias("normal"))
-    members = full.join(shared.select("digest"), "digest", "left_semi")
-    locators = shared.select("digest", F.col("best.content").alias("content"))
-    kept_texts = full.join(locators, ["digest", "content"]).groupBy("digest").agg(F.min("normal").alias("kept_normal"))
+    members = full.join(shared.select("digest", F.col("best.content").alias("kept_content")), "digest")
+    kept_texts = members.filter("content = kept_content").groupBy("digest").agg(F.min("normal").alias("kept_normal"))
     differing = members.join(kept_texts, "digest").filter("normal <> kept_normal").select("digest").distinct()
     differing = land(differing, "dedup-differing")
 
