@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -57,13 +59,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), dtype=np.uint64)
-    if n:
-        out[0] = 1
+@lru_cache(maxsize=8)
+def _power_table(base: int, size: int) -> np.ndarray:
+    out = np.full(size, np.uint64(base), dtype=np.uint64)
+    out[0] = 1
     return np.multiply.accumulate(out, dtype=np.uint64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 to base**(n - 1); tables are kept in steps of doubled size."""
+    return _power_table(base, 1 << max(16, (n - 1).bit_length() if n else 0))[:n]
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
     """64-bit hash of each word: a polynomial in its bytes over 2**64, scrambled, by prefix sums."""
     codes = mixed(np.arange(256, dtype=np.uint64) + np.uint64(seed * int(_ODD) & _ALL))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vernissage.llm import chat, exact, licenses, mixing, packing, pii, quality, simhash
+from vernissage.llm import chat, exact, licenses, mixing, packing, pii, quality, simhash, substring
 from vernissage.llm.text import table
 
 QUERIES = {}
@@ -106,3 +107,9 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
