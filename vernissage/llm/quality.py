@@ -19,6 +19,7 @@ _CLASSES = np.where(bw.SPACE_BYTES, 0, np.where(bw.NOT_ALNUM_BYTES, 2, 1)).astyp
 _CLASSES[ord("A") : ord("Z") + 1] = 1
 _SLICE_BYTES = 1 << 20
 _WORD_SEED, _INDEX_SEED = 11, 12
+_EXTRA = 4
 
 
 @dataclass(frozen=True)
@@ -126,15 +127,22 @@ def word_vectors(docs: DataFrame, text: str = "text", settings: Settings = Setti
 
 
 def pooled(texts: pa.Array, vectors: np.ndarray, settings: Settings) -> np.ndarray:
-    """Per text: mean and mean square of its word vectors, the length of the mean, log of the token count."""
+    """Per text: mean and mean square of its word vectors, mean likeness of neighbouring words and
+    share of neighbours that are alike, the length of the mean, log of the token count."""
     token, first = _tokens(texts, settings)
     counts = np.diff(first)
-    out = np.zeros((len(counts), 2 * settings.width + 2), dtype=np.float32)
+    out = np.zeros((len(counts), 2 * settings.width + _EXTRA), dtype=np.float32)
     filled = np.flatnonzero(counts)
     if len(filled):
         rows, at, n = vectors[token], first[:-1][filled], counts[filled, None]
         out[filled, : settings.width] = np.add.reduceat(rows, at, axis=0) / n
-        out[filled, settings.width : -2] = np.add.reduceat(rows * rows, at, axis=0) / n
+        out[filled, settings.width : -_EXTRA] = np.add.reduceat(rows * rows, at, axis=0) / n
+        alike = np.zeros(len(token), dtype=np.float32)
+        alike[:-1] = np.einsum("ij,ij->i", rows[:-1], rows[1:])
+        alike[first[1:][filled] - 1] = 0.0
+        pairs = np.maximum(counts[filled] - 1, 1)
+        out[filled, -4] = np.add.reduceat(alike, at) / pairs
+        out[filled, -3] = np.add.reduceat((alike > 0.999).astype(np.float32), at) / pairs
     out[:, -2] = np.linalg.norm(out[:, : settings.width], axis=1)
     out[:, -1] = np.log1p(counts)
     return out
@@ -234,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, key: str = "doc
 
     kind = rows.schema["_k"].dataType.simpleString()
     found = rows.mapInArrow(features, f"k {kind}, y double, x binary").orderBy(F.xxhash64("k"), "k", "x").limit(settings.fit_rows).collect()
-    width = 2 * settings.width + 2
+    width = 2 * settings.width + _EXTRA
     x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in found], dtype=np.float64).reshape(len(found), width)
     return fit_network(x, np.array([r["y"] for r in found]), settings)
 
