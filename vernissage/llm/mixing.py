@@ -14,6 +14,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 BUCKETS = 4096
+# The table of sources is broadcast up to this many rows of about 100 bytes, and joined by shuffle beyond.
+BROADCAST_SOURCES = 50_000
 _RANDOM_BITS = 52
 
 
@@ -65,9 +67,13 @@ def mix(
     propensity: Column | None = None,
     seed: int = 7,
     buckets: int = BUCKETS,
+    carry: Sequence[str] | None = None,
 ) -> DataFrame:
     """Adds size, source_size, target, copies and taken to every row of `docs`.
 
+    `carry` names the columns that go along; all by default, so leave out texts
+    where only the numbers are wanted.
+
     Every document of a source first gets floor(target / source_size) whole
     copies. The rest of the target is filled by one more copy of some documents
     in Pareto order: ascending (u / (1 - u)) / (p / (1 - p)), u a number drawn
@@ -86,8 +92,10 @@ def mix(
     no rows. Columns of `docs` named like the added ones are replaced.
     """
     counted = size if size is not None else word_count(F.col("text"))
+    added = {"size", "source_size", "target", "copies", "taken"}
+    kept = [c for c in (docs.columns if carry is None else carry) if c.lower() not in added]
     rows = docs.select(
-        F.struct("*").alias("_doc"),
+        F.struct(*kept).alias("_doc"),
         F.col(key).alias("_key"),
         F.col(source).alias("source"),
         counted.cast("long").alias("size"),
@@ -105,6 +113,8 @@ def mix(
         .withColumn("_open", F.col("target") - F.col("_whole") * F.col("source_size"))
         .drop("source")
     )
+    if totals.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     p = F.least(F.lit(1.0), F.col("_open") * F.col("_propensity") / F.col("_mass"))
     odds = F.when(F.col("_mass") <= 0, F.lit(None)).when(p >= 1, 0.0).when(p > 0, (F.col("_u") / (1 - F.col("_u"))) / (p / (1 - p)))
     ranked = rows.join(plan, "_name").withColumn("_odds", odds)
@@ -118,9 +128,8 @@ def mix(
     chosen = ranked.withColumn("_inside", inside).join(offsets, ["_name", "_bucket"])
     extra = (F.col("_before") + F.col("_inside") + F.col("size") / 2 <= F.col("_open")) & F.col("_odds").isNotNull()
     copies = F.col("_whole") + F.when(extra, 1).otherwise(0)
-    added = {"size", "source_size", "target", "copies", "taken"}
     return chosen.withColumn("_copies", copies).select(
-        *[F.col("_doc")[c].alias(c) for c in docs.columns if c.lower() not in added],
+        *[F.col("_doc")[c].alias(c) for c in kept],
         "size", "source_size", "target",
         F.col("_copies").alias("copies"),
         (F.col("_copies") * F.col("size")).alias("taken"),
