@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vernissage.llm import chat, exact, licenses, mixing, packing, pii, quality, simhash, substring
+from vernissage.llm import chat, exact, licenses, mixing, packing, pii, quality, simhash, substring, vectors
 from vernissage.llm.text import table
 
 QUERIES = {}
@@ -113,3 +113,8 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

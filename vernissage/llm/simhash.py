@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vernissage.llm import bytewords as bw
 from vernissage.llm.exact import locator
 from vernissage.llm.graph import components
+from vernissage.llm.linking import Joined
 from vernissage.llm.text import fixed_partitions
 from vernissage.session import land
 
@@ -137,36 +138,6 @@ def groups_to_search(codes: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
         rows = land(finer.distinct(), "simhash-keys")
 
 
-class _Joined:
-    """Union-find over the members of one group."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def settle(self) -> np.ndarray:
-        while True:
-            further = self.root[self.root]
-            if np.array_equal(further, self.root):
-                return self.root
-            self.root = further
-
-    def link(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The given pairs that were needed to join what they join."""
-        used_i, used_j = [], []
-        while len(i):
-            root = self.settle()
-            high, low = np.maximum(root[i], root[j]), np.minimum(root[i], root[j])
-            open_ = high != low
-            i, j, high, low = i[open_], j[open_], high[open_], low[open_]
-            _, one = np.unique(high, return_index=True)
-            self.root[high[one]] = low[one]
-            used_i.append(i[one])
-            used_j.append(j[one])
-        if not used_i:
-            return i, j
-        return np.concatenate(used_i), np.concatenate(used_j)
-
-
 def linked_in_group(codes: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) that join all codes within the distance, for distinct codes in Gray order.
 
@@ -180,7 +151,7 @@ def linked_in_group(codes: np.ndarray, distance: int = DISTANCE) -> tuple[np.nda
         at = np.arange(0, len(fixed_ones[-1]), _FANOUT)
         fixed_ones.append(np.bitwise_and.reduceat(fixed_ones[-1], at))
         fixed_any.append(np.bitwise_or.reduceat(fixed_any[-1], at))
-    joined = _Joined(len(codes))
+    joined = Joined(len(codes))
     near = np.flatnonzero(np.bitwise_count(codes[1:] ^ codes[:-1]) <= distance)
     kept = [joined.link(near, near + 1)]
     stack = [(len(fixed_ones) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
