@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vernissage.functions import fixed
 from vernissage.operators import audit, blend, folds, joins, knowledge, profile, ranking
+from vernissage.sources import fetch
 
 
 def ids_frame(spark, ids):
@@ -13,7 +14,7 @@ def ids_frame(spark, ids):
 
 def test_positions_with_uneven_ids(spark):
     ids = [*range(-300, 300, 2), 10**12, 10**15, *range(5_000_000, 5_000_200)]
-    df = ranking.position_within(ranking.id_buckets(ids_frame(spark, ids), "id", rows_per_bucket=40), "id")
+    df = ranking.position_within(ranking.range_buckets(ids_frame(spark, ids), "id", rows_per_bucket=40), "id")
     assert [r.position for r in df.orderBy("id").collect()] == list(range(len(ids)))
 
 
@@ -107,10 +108,9 @@ def test_full_encoding_unseen_gets_prior(spark):
     assert got[2] == pytest.approx([sum(r.y == k for r in rows) / len(rows) for k in range(8)])
 
 
-@pytest.mark.parametrize("limits", [(256, 10_000), (0, 10_000), (0, 0)])
-def test_category_codes_every_path(spark, monkeypatch, limits):
-    monkeypatch.setattr(folds, "LITERAL_VALUES", limits[0])
-    monkeypatch.setattr(folds, "BROADCAST_VALUES", limits[1])
+@pytest.mark.parametrize("limit", [256, 0])
+def test_category_codes_every_path(spark, monkeypatch, limit):
+    monkeypatch.setattr(folds, "LITERAL_VALUES", limit)
     train = spark.createDataFrame([("b",), ("a",), (None,), ("ca",), ("cb",)], "c string")
     test = spark.createDataFrame([(1, "a"), (2, "cb"), (3, "zz"), (4, None)], "id long, c string")
     got = {r.id: r.c_code for r in folds.encode_categories(test, train, ["c"]).collect()}
@@ -149,13 +149,39 @@ def test_rule_ladder(spark, labels, rule):
     assert labels_of(spark, labels).rule == rule
 
 
-def test_repeated_material_is_counted(spark):
-    bindings = spark.createDataFrame([("Q1", "ink")] * 50 + [("Q1", "gold")], "item string, label string")
-    got = knowledge.material_lists(bindings).first()
-    assert got.materials == ["gold", "ink"] and got.material_counts == [1, 50]
+def test_repeated_materials_are_kept(spark):
+    bindings = spark.createDataFrame([("Q1", "ink"), ("Q1", "gold"), ("Q1", "ink")], "item string, label string")
+    assert knowledge.material_lists(bindings).first().materials == ["gold", "ink", "ink"]
     records = spark.createDataFrame([(1, "Q1"), (2, None), (3, "Q9")], "id long, wikidataid string")
-    found = {r.id: (r.wd_materials, r.n_materials) for r in knowledge.materials_of_records(records, bindings).collect()}
-    assert found == {1: ("gold|ink", 51), 2: ("", 0), 3: ("", 0)}
+    for unique in (False, True):
+        found = knowledge.materials_of_records(records, bindings, unique=unique)
+        assert {r.id: (r.wd_materials, r.n_materials) for r in found.collect()} == {1: ("gold|ink|ink", 3), 2: ("", 0), 3: ("", 0)}
+
+
+@pytest.mark.parametrize("rows_per_bucket", [2, 1_000_000])
+def test_rows_without_id_or_label_stay_at_any_size(spark, rows_per_bucket):
+    rows = [(i if i % 7 else None, i % 3 if i % 5 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, y int").repartition(3)
+    ids = sorted((i for i, _ in rows if i is not None)) + [None] * sum(i is None for i, _ in rows)
+    batches = fetch.batches(df, size=10, rows_per_bucket=rows_per_bucket).collect()
+    assert sorted((r.position, r.batch) for r in batches) == [(p, p // 10) for p in range(200)]
+    assert [r.id for r in sorted(batches, key=lambda r: r.position)] == ids
+    sample = ranking.every_kth(df, 20, rows_per_bucket=rows_per_bucket).collect()
+    assert Counter(r.id for r in sample) == Counter(ids[::20])
+    folded = folds.assign_folds(df, 42, rows_per_bucket=rows_per_bucket).collect()
+    assert Counter((r.id, r.y) for r in folded) == Counter(rows)
+    for y in (None, 0, 1, 2):
+        sizes = Counter(r.fold for r in folded if r.y == y)
+        assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_dictionary_of_values_with_one_prefix(spark):
+    values = [f"same beginning {i:05d}" for i in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values for _ in range(2)] + [(None,)], "f string")
+    got = {r.value: r.code for r in folds.category_dictionary(df, "f", rows_per_bucket=100).collect()}
+    assert got == {v: i for i, v in enumerate(values)}
+    held = ranking.range_buckets(df.distinct(), "f", rows_per_bucket=100).groupBy("_bucket").count()
+    assert held.agg(F.max("count")).first()[0] <= 4 * 100
 
 
 def test_blend_first_index_on_tie(spark):

@@ -9,13 +9,23 @@ from pyspark.sql import functions as F
 
 from vernissage.functions import fixed
 from vernissage.operators.joins import spread_lookup
-from vernissage.operators.ranking import digest_bucket, position_within, seeded_digest
+from vernissage.operators.ranking import (
+    ROWS_PER_BUCKET,
+    digest_bucket,
+    digest_digits,
+    position_within,
+    range_buckets,
+    seeded_digest,
+)
 
 
-def assign_folds(df: DataFrame, seed: int, n_folds: int = fixed.N_FOLDS, key: str = "id", label: str = "y", hex_digits: int = 3) -> DataFrame:
-    """Seeded stratified folds: fold sizes differ by at most one inside each class."""
+def assign_folds(df: DataFrame, seed: int, n_folds: int = fixed.N_FOLDS, key: str = "id", label: str = "y", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Seeded stratified folds: fold sizes differ by at most one inside each class.
+
+    Rows without a label are a class of their own.
+    """
     hashed = df.withColumn("_digest", seeded_digest(key, seed))
-    hashed = hashed.withColumn("_bucket", digest_bucket("_digest", hex_digits))
+    hashed = hashed.withColumn("_bucket", digest_bucket("_digest", digest_digits(df.count(), rows_per_bucket)))
     ranked = position_within(hashed, ["_digest", key], by=[label])
     return ranked.withColumn("fold", (F.col("position") % n_folds).cast("int")).drop("_digest", "position")
 
@@ -107,23 +117,21 @@ def full_encoding(
     return found.select(*test.columns, *encoding_columns(encoding, prefix, n_classes))
 
 
-def category_dictionary(train: DataFrame, field: str) -> DataFrame:
-    """Sorted training values of a field with their codes 0, 1, ...; ranked inside two-character prefixes."""
+def category_dictionary(train: DataFrame, field: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Sorted training values of a field with their codes 0, 1, ..., ranked inside ranges of values."""
     values = train.filter(F.col(field).isNotNull()).select(F.col(field).alias("value")).distinct()
-    ranked = position_within(values.withColumn("_bucket", F.substring("value", 1, 2)), "value")
+    ranked = position_within(range_buckets(values, "value", rows_per_bucket), "value")
     return ranked.select("value", F.col("position").cast("int").alias("code"))
 
 
-# Dictionaries up to LITERAL_VALUES sit in the expression, up to BROADCAST_VALUES they are
-# broadcast, larger ones are looked up by shuffle.
+# Dictionaries up to LITERAL_VALUES sit in the expression, larger ones are looked up by join.
 LITERAL_VALUES = 256
-BROADCAST_VALUES = 10_000
 
 
 def encode_categories(df: DataFrame, train: DataFrame, fields: Sequence[str], key: str = "id") -> DataFrame:
     """Adds `<field>_code`; a value not seen in training is coded null.
 
-    Dictionary sizes are measured first, so that only small ones are collected or broadcast.
+    Dictionary sizes are measured first, so that only small ones are collected.
     """
     sizes = train.agg(*[F.approx_count_distinct(f).alias(f) for f in fields]).first()
     short = [f for f in fields if sizes[f] <= LITERAL_VALUES]
@@ -139,8 +147,5 @@ def encode_categories(df: DataFrame, train: DataFrame, fields: Sequence[str], ke
         table = category_dictionary(train, f).select(
             F.col("value").alias(f), F.col("code").alias(f"{f}_code")
         )
-        if sizes[f] <= BROADCAST_VALUES:
-            out = out.join(F.broadcast(table), f, "left")
-        else:
-            out = spread_lookup(out, table, [f], key)
+        out = spread_lookup(out, table, [f], key)
     return out.select(*df.columns, *[f"{f}_code" for f in fields])

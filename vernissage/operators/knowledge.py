@@ -51,35 +51,34 @@ def rule_class() -> Column:
 
 
 def material_lists(bindings: DataFrame, item: str = "item", label: str = "label") -> DataFrame:
-    """Labels per item in order, with how often each occurs.
+    """Labels per item in order, repeats kept.
 
-    Repeats are counted before the list is built, so a list is never longer
-    than the material vocabulary.
+    Repeats are counted before the list is built, so what is shuffled per item
+    is never longer than the material vocabulary.
     """
     counted = bindings.groupBy(item, label).agg(F.count(F.lit(1)).alias("n"))
-    packed = counted.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(label, "n"))).alias("_m"))
-    return packed.select(
-        item, F.col(f"_m.{label}").alias("materials"), F.col("_m.n").alias("material_counts")
-    )
+    packed = counted.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "n"))).alias("_m"))
+    repeated = F.transform("_m", lambda m: F.array_repeat(m["label"], m["n"].cast("int")))
+    return packed.select(item, F.flatten(repeated).alias("materials"))
+
 
+def materials_of_records(records: DataFrame, bindings: DataFrame, graph_key: str = "wikidataid", key: str = "id", unique: bool = False) -> DataFrame:
+    """Every record with its material text; records without an answer get an empty list.
 
-def materials_of_records(records: DataFrame, bindings: DataFrame, graph_key: str = "wikidataid", key: str = "id") -> DataFrame:
-    """Every record with its material text; records without an answer get an empty list."""
+    `unique` says that no two records share a graph key.
+    """
     lists = material_lists(bindings).withColumnRenamed("item", graph_key)
-    found = spread_lookup(records.select(key, graph_key), lists, [graph_key], key)
-    empty = F.array().cast("array<string>")
-    materials = F.coalesce("materials", empty)
-    counts = F.coalesce("material_counts", F.array().cast("array<bigint>"))
+    found = spread_lookup(records.select(key, graph_key), lists, [graph_key], key, unique=unique)
+    materials = F.coalesce("materials", F.array().cast("array<string>"))
     return found.select(
-        key, graph_key, F.array_join(materials, "|").alias("wd_materials"),
-        F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n_materials"),
+        key, graph_key, F.array_join(materials, "|").alias("wd_materials"), F.size(materials).cast("bigint").alias("n_materials")
     )
 
 
-def evidence(records: DataFrame, bindings: DataFrame, graph_key: str = "wikidataid", key: str = "id") -> DataFrame:
+def evidence(records: DataFrame, bindings: DataFrame, graph_key: str = "wikidataid", key: str = "id", unique: bool = False) -> DataFrame:
     """(id, wd_pred, wd_<flag>...) for every record."""
     categories = item_categories(bindings).withColumnRenamed("item", graph_key)
-    found = spread_lookup(records.select(key, graph_key), categories, [graph_key], key)
+    found = spread_lookup(records.select(key, graph_key), categories, [graph_key], key, unique=unique)
     flags = [F.coalesce(F.col(c), F.lit(0)).alias(f"wd_{c}") for c in fixed.MATERIAL_FLAGS]
     return found.select(key, rule_class().alias("wd_pred"), *flags)
 

@@ -30,7 +30,7 @@ ACCURACY = (
 
 
 def facts(spark, sf):
-    return knowledge.evidence(views.artworks(spark, sf), views.bindings(spark, sf))
+    return knowledge.evidence(views.artworks(spark, sf), views.bindings(spark, sf), unique=True)
 
 
 @query("material_flags", with_views(EVIDENCE, "artworks", "bindings"))

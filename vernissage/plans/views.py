@@ -16,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str, pieces: int = 32) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """Cuts an input of few, large files by key; an input with enough splits stays as it is."""
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, pieces)
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
 
 
@@ -80,7 +80,7 @@ WITH_TEXT = "left join {documents} on doc_id = o_orderkey"
 BINDINGS = """
 select concat('http://www.wikidata.org/entity/', wikidataid) as item, mat as matlabel
 from {artworks} join (
-  select 0 as k, 'Oil paint' as mat union all select 0, 'canvas' union all select 1, 'ink'
+  select 0 as k, 'Oil paint' as mat union all select 0, 'canvas' union all select 1, 'ink' union all select 1, 'ink'
   union all select 1, 'laid paper' union all select 2, 'pencil' union all select 3, 'woodcut'
   union all select 4, 'watercolor paint' union all select 5, 'oil paint' union all select 5, 'poplar'
   union all select 6, 'egg tempera' union all select 6, 'gold leaf' union all select 7, 'acrylic paint'

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vernissage.functions import fixed
-from vernissage.operators.ranking import id_buckets, position_within
+from vernissage.operators.ranking import ROWS_PER_BUCKET, key_order, position_within, range_buckets
 
 
 def pending(ids: DataFrame, attempts: DataFrame, key: str = "id", ok: str = "ok") -> DataFrame:
@@ -21,7 +21,7 @@ def outcome_summary(attempts: DataFrame, ok: str = "ok") -> DataFrame:
     )
 
 
-def batches(ids: DataFrame, key: str = "id", size: int = fixed.LOOKUP_BATCH, rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Consecutive batches of `size` ids in id order."""
-    ranked = position_within(id_buckets(ids, key, rows_per_bucket), key)
+def batches(ids: DataFrame, key: str = "id", size: int = fixed.LOOKUP_BATCH, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Consecutive batches of `size` ids in id order; rows without an id fill the last batches."""
+    ranked = position_within(range_buckets(ids, key, rows_per_bucket), [*key_order(key), F.xxhash64(*ids.columns)])
     return ranked.withColumn("batch", F.floor(F.col("position") / size).cast("bigint"))
