@@ -1,4 +1,5 @@
 import math
+import statistics
 import struct
 import zlib
 from collections import Counter
@@ -93,50 +94,112 @@ def test_l2_and_zero_vectors(spark):
     assert got == {0: [0.6, 0.8], 1: [0.0, 0.0], 2: [0.0, 0.0]}
 
 
-def pixel_frame(spark, arrays):
-    rows = [
-        (i, x, y, *map(int, a[y, x]), a.shape[1], a.shape[0])
-        for i, a in arrays.items() for y in range(a.shape[0]) for x in range(a.shape[1])
-    ]
-    return spark.createDataFrame(rows, "id long, px int, py int, r int, g int, b int, w int, h int")
-
-
-def brute_features(a):
-    f = a.astype(float) / 255
-    gray = f @ np.array([0.299, 0.587, 0.114])
-    high, low = f.max(axis=2), f.min(axis=2)
-    out = [s for c in range(3) for s in (f[:, :, c].mean(), f[:, :, c].std())]
-    out += [high.mean(), ((high - low) / (high + 1e-7)).mean(), gray.std(), (gray < 0.1).mean(), (gray > 0.9).mean()]
-    out += [(f[:, :, 0] - f[:, :, 2]).mean()]
-    for c in range(3):
-        out += np.histogram(a[:, :, c], bins=8, range=(0, 256), density=True)[0].tolist()
-    out += [gray.mean(), *np.percentile(gray, [10, 25, 50, 75, 90])]
-    out += [(np.abs(np.diff(gray, axis=0)).mean() + np.abs(np.diff(gray, axis=1)).mean()) / 2]
-    return out
-
-
-def test_image_features_match_numpy(spark):
-    rng = np.random.default_rng(1)
-    arrays = {1: rng.integers(0, 256, (6, 9, 3)), 2: np.zeros((4, 4, 3), int), 3: rng.integers(0, 256, (64, 64, 3))}
-    got = images.image_features(pixel_frame(spark, arrays))
-    assert got.columns == ["id", *images.FEATURE_NAMES] and len(images.FEATURE_NAMES) == 43
-    for r in got.collect():
-        assert list(r)[1:] == pytest.approx(brute_features(arrays[r.id]), abs=2e-6)
+def image_rows(spark, arrays, channels=3):
+    """Image source rows; bytes are B, G, R(, A)."""
+    rows = []
+    for i, a in arrays.items():
+        stored = a[:, :, ::-1] if channels > 1 else a[:, :, :1]
+        if channels == 4:
+            stored = np.concatenate([stored, np.full((*a.shape[:2], 1), 77)], axis=2)
+        rows.append((i, ("mem", a.shape[0], a.shape[1], channels, 16, bytearray(stored.astype(np.uint8).tobytes()))))
+    return spark.createDataFrame(rows, "id long, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+
+
+def by_name(values):
+    return dict(zip(images.FEATURE_NAMES, values, strict=True))
+
+
+def test_one_colour():
+    got = by_name(images.statistics(np.full((3, 5, 3), 51)))  # 51 is a fifth of full scale
+    flat = {n: got[n] for n in got if n.endswith("_std") or n in ("img_contrast", "img_saturation", "img_warmth", "img_edge_mean")}
+    assert set(flat.values()) == {0.0}
+    level = ["img_r_mean", "img_brightness", "img_gray_mean", "img_gray_p10", "img_gray_p90"]
+    assert [got[n] for n in level] == pytest.approx([0.2] * 5)
+    assert [got[f"img_g_h{k}"] for k in range(8)] == [0, 1 / 32, 0, 0, 0, 0, 0, 0]
+    assert (got["img_black_frac"], got["img_white_frac"]) == (0, 0)
+
+
+def test_black_and_white_step():
+    a = np.zeros((2, 4, 3), dtype=int)
+    a[:, 2:] = 255
+    got = by_name(images.statistics(a))
+    assert got["img_b_mean"] == got["img_b_std"] == got["img_contrast"] == got["img_black_frac"] == got["img_white_frac"] == 0.5
+    assert (got["img_r_h0"], got["img_r_h7"], got["img_r_h3"]) == (0.5 / 32, 0.5 / 32, 0)
+    assert (got["img_gray_p10"], got["img_gray_p50"], got["img_gray_p90"]) == (0, 0.5, 1)
+    assert got["img_edge_mean"] == pytest.approx((0 + 2 / 6) / 2)  # 2 of 6 steps to the right go from black to white
+
+
+def test_red_ramp():
+    a = np.zeros((1, 5, 3), dtype=int)
+    a[0, :, 0] = [0, 50, 100, 150, 200]
+    got = by_name(images.statistics(a))
+    assert got["img_r_mean"] == got["img_brightness"] == got["img_warmth"] == pytest.approx(100 / 255)
+    assert got["img_r_std"] == pytest.approx(5000**0.5 / 255)  # squares of -100, -50, 0, 50, 100 average 5000
+    assert got["img_saturation"] == pytest.approx(0.8, abs=1e-5)  # black has none, the others are pure red
+    assert got["img_gray_p25"] == pytest.approx(0.299 * 50 / 255)
+    assert got["img_edge_mean"] is None  # one row has no step down
+
+
+def test_random_image_by_definition():
+    a = np.random.default_rng(1).integers(0, 256, (6, 9, 3))
+    pixels = [tuple(int(v) for v in a[y, x]) for y in range(6) for x in range(9)]
+    luma = [0.299 * r + 0.587 * g + 0.114 * b for r, g, b in pixels]
+    got = by_name(images.statistics(a))
+
+    def percentile(p):
+        ordered, at = sorted(luma), p / 100 * 53
+        low = int(at)
+        return ordered[low] + (ordered[min(low + 1, 53)] - ordered[low]) * (at - low)
+
+    steps_down = [abs(luma[i + 9] - luma[i]) for i in range(45)]
+    steps_right = [abs(luma[i + 1] - luma[i]) for i in range(54) if i % 9 != 8]
+    want = {
+        "img_g_mean": sum(p[1] for p in pixels) / 54 / 255,
+        "img_b_std": statistics.pstdev(p[2] for p in pixels) / 255,
+        "img_brightness": sum(map(max, pixels)) / 54 / 255,
+        "img_saturation": sum((max(p) - min(p)) / max(p) for p in pixels) / 54,
+        "img_contrast": statistics.pstdev(luma) / 255,
+        "img_black_frac": sum(v < 25.5 for v in luma) / 54,
+        "img_white_frac": sum(v > 229.5 for v in luma) / 54,
+        "img_warmth": sum(r - b for r, _, b in pixels) / 54 / 255,
+        "img_r_h5": sum(160 <= p[0] < 192 for p in pixels) / 54 / 32,
+        "img_gray_mean": sum(luma) / 54 / 255,
+        "img_edge_mean": (sum(steps_down) / 45 + sum(steps_right) / 48) / 2 / 255,
+    } | {f"img_gray_p{p}": percentile(p) / 255 for p in (10, 25, 50, 75, 90)}
+    assert {n: got[n] for n in want} == pytest.approx(want, abs=1e-6)
+
+
+def test_image_features_stay_in_the_row(spark):
+    rng = np.random.default_rng(2)
+    arrays = {i: rng.integers(0, 256, (5 + i, 9, 3)) for i in range(4)}
+    frame = image_rows(spark, arrays).unionByName(image_rows(spark, {9: arrays[0]}).withColumn("image", F.lit(None).cast("struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")))
+    found = images.image_features(frame)
+    assert found.columns == ["id", *images.FEATURE_NAMES] and len(images.FEATURE_NAMES) == 43
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    got = {r.id: list(r)[1:] for r in found.collect()}
+    assert got[9] == [None] * 43
+    for i, a in arrays.items():
+        assert got[i] == pytest.approx(images.statistics(images.block_average(a, 64, 64)))
+    for channels in (1, 4):
+        wide = {r.id: r.img_b_mean for r in images.image_features(image_rows(spark, arrays, channels), side=None).collect()}
+        assert wide == pytest.approx({i: a[:, :, 2 if channels == 4 else 0].mean() / 255 for i, a in arrays.items()})
 
 
 def test_resize_and_crop(spark):
     a = np.arange(4 * 6 * 3).reshape(4, 6, 3)
-    frame = pixel_frame(spark, {1: a})
-    small = {(r.px, r.py): (r.r, r.g, r.b) for r in images.resize(frame, F.lit(3), F.lit(2)).collect()}
     blocks = a.reshape(2, 2, 3, 2, 3).mean(axis=(1, 3))
-    assert small == {(x, y): tuple(np.floor(blocks[y, x] + 0.5).astype(int)) for x in range(3) for y in range(2)}
-    large = images.resize_square(frame, 10).collect()
-    assert len(large) == 100 and {(r.w, r.h) for r in large} == {(10, 10)}
-    assert all((r.r, r.g, r.b) == tuple(a[r.py * 4 // 10, r.px * 6 // 10]) for r in large)
-    scaled = images.resize_shorter_side(frame, 2)
-    assert {(r.w, r.h) for r in scaled.collect()} == {(3, 2)}
-    cut = images.center_crop(frame, 2).collect()
-    assert {(r.px, r.py): r.r for r in cut} == {(x, y): a[y + 1, x + 2, 0] for x in (0, 1) for y in (0, 1)}
+    assert np.array_equal(images.block_average(a, 3, 2), np.floor(blocks + 0.5))
+    large = images.block_average(a, 10, 10)
+    assert all(tuple(large[y, x]) == tuple(a[y * 4 // 10, x * 6 // 10]) for x in range(10) for y in range(10))
+    assert images.shorter_side(a, 2).shape == (2, 3, 3)
+    assert np.array_equal(images.center(a, 2), a[1:3, 2:4])
+    frame = image_rows(spark, {1: a})
+    cut = images.cells(images.resized(frame, 4, keep_aspect=True, crop=2)).collect()
+    assert {(r.px, r.py): (r.r, r.g, r.b) for r in cut} == {(x, y): tuple(a[y + 1, x + 2]) for x in (0, 1) for y in (0, 1)}
+    tensor = images.model_inputs(frame, 4, 4).first().tensor
+    assert tensor == pytest.approx(images.standardised(a[:, 1:5]).ravel().tolist())
+    assert images.model_inputs(frame, 4, 5).first().tensor is None
 
 
 def png(path, a):
@@ -157,11 +220,7 @@ def test_image_source_keeps_unreadable(spark, tmp_path):
     png(tmp_path / "7.png", a)
     (tmp_path / "8.png").write_bytes(b"junk")
     scanned = image_source.read_images(spark, str(tmp_path))
-    pixels = image_source.image_pixels(scanned)
-    assert {(r.px, r.py): (r.r, r.g, r.b) for r in pixels.collect()} == {
-        (x, y): tuple(a[y, x]) for x in range(5) for y in range(3)
-    }
     ids = spark.createDataFrame([("7",), ("8",), ("9",)], "id string")
-    got = {r.id: r.img_brightness for r in image_source.with_image_features(ids, images.image_features(pixels)).collect()}
-    assert got["7"] is not None and got["8"] is None and got["9"] is None
+    got = {r.id: r.img_brightness for r in image_source.with_image_features(ids, images.image_features(scanned, side=None)).collect()}
+    assert got["7"] == pytest.approx(a.max(axis=2).mean() / 255) and got["8"] is None and got["9"] is None
     assert fixed.IMAGE_SIDE == 64

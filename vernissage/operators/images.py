@@ -1,197 +1,175 @@
-"""Image statistics over a pixel table (id, px, py, r, g, b) with channels 0..255.
+"""Image statistics, resizing and model inputs, one image row at a time.
 
-Sums are kept in whole numbers and divided once, so results do not depend on
-the order of rows. Images are cut to 64x64 by `resize` first, so the state of
-one image is at most 4,096 pixels.
+An image is one row of Spark's image source (height, width, nChannels, data).
+Decoding, resizing and all statistics happen inside that row in Arrow batches:
+no pixel table, no shuffle. Sums are whole numbers and divided once. A missing
+or unreadable image gives a row of nulls.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vernissage.functions import fixed
 
-
-def gray() -> Column:
-    """Luma in thousandths of a level, 0..255000."""
-    weights = zip(fixed.GRAY_WEIGHTS, ("r", "g", "b"), strict=True)
-    return sum((F.col(c) * w for w, c in weights), F.lit(0)).cast("int")
-
-
 FULL = 255.0
 FULL_GRAY = 255000.0
+BINS, LEVELS = 8, 256
+
+CHANNEL_NAMES = tuple(f"img_{c}_{s}" for c in "rgb" for s in ("mean", "std"))
+TONE_NAMES = ("img_brightness", "img_saturation", "img_contrast", "img_black_frac", "img_white_frac", "img_warmth")
+HISTOGRAM_NAMES = tuple(f"img_{c}_h{k}" for c in "rgb" for k in range(BINS))
+GRAY_NAMES = ("img_gray_mean", *(f"img_gray_p{p}" for p in fixed.GRAY_PERCENTILES))
+FEATURE_NAMES = (*CHANNEL_NAMES, *TONE_NAMES, *HISTOGRAM_NAMES, *GRAY_NAMES, "img_edge_mean")
 
 
-def _n() -> Column:
-    return F.count(F.lit(1))
+def decoded(height: int | None, width: int | None, channels: int | None, data: bytes | None) -> np.ndarray | None:
+    """(height, width, 3) levels in R, G, B order; stored bytes are B, G, R(, A) or one gray channel."""
+    if not height or not width or height <= 0 or width <= 0 or channels not in (1, 3, 4) or data is None:
+        return None
+    if len(data) != height * width * channels:
+        return None
+    stored = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
+    return (np.repeat(stored, 3, axis=2) if channels == 1 else stored[:, :, 2::-1]).astype(np.int64)
 
 
-def _mean(total: Column, scale: float) -> Column:
-    return total.cast("double") / (_n() * scale)
+def gray(levels: np.ndarray) -> np.ndarray:
+    """Luma in thousandths of a level, 0..255000."""
+    return levels @ np.array(fixed.GRAY_WEIGHTS)
 
 
-def _std(value: Column, scale: float) -> Column:
+def _deviation(values: np.ndarray, scale: float) -> float:
     """Population deviation from whole sums."""
-    v = value.cast("bigint")
-    s, q, n = (x.cast("double") for x in (F.sum(v), F.sum(v * v), _n()))
-    return F.sqrt(F.greatest(n * q - s * s, F.lit(0.0))) / (n * scale)
+    n, total, squares = float(values.size), float(values.sum()), float((values * values).sum())
+    return float(np.sqrt(max(n * squares - total * total, 0.0)) / (n * scale))
 
 
-def channel_statistics() -> list[Column]:
+def statistics(levels: np.ndarray) -> list[float]:
+    """The values of FEATURE_NAMES."""
+    n = levels.shape[0] * levels.shape[1]
+    flat, luma = levels.reshape(n, 3), gray(levels)
+    high, low = flat.max(axis=1), flat.min(axis=1)
+    mean = lambda total, scale: float(total) / (n * scale)
     out = []
-    for c in ("r", "g", "b"):
-        out += [
-            _mean(F.sum(c), FULL).alias(f"img_{c}_mean"),
-            F.round(_std(F.col(c), FULL), 6).alias(f"img_{c}_std"),
-        ]
+    for c in range(3):
+        out += [mean(flat[:, c].sum(), FULL), _deviation(flat[:, c], FULL)]
+    out += [
+        mean(high.sum(), FULL),
+        float((((high - low) / FULL) / (high / FULL + 1e-7)).mean()),
+        _deviation(luma, FULL_GRAY),
+        float((luma < 0.1 * FULL_GRAY).sum()) / n,
+        float((luma > 0.9 * FULL_GRAY).sum()) / n,
+        mean((flat[:, 0] - flat[:, 2]).sum(), FULL),
+    ]
+    width = LEVELS // BINS
+    for c in range(3):
+        out += [float(k) / (n * width) for k in np.bincount(flat[:, c] // width, minlength=BINS)]
+    out += [mean(luma.sum(), FULL_GRAY), *(np.percentile(luma, fixed.GRAY_PERCENTILES) / FULL_GRAY).tolist()]
+    down, right = np.abs(np.diff(luma, axis=0)), np.abs(np.diff(luma, axis=1))
+    if down.size and right.size:
+        out.append((float(down.sum()) / down.size + float(right.sum()) / right.size) / 2 / FULL_GRAY)
+    else:
+        out.append(None)
     return out
 
 
-def tone_statistics() -> list[Column]:
-    high, low = F.greatest("r", "g", "b"), F.least("r", "g", "b")
-    saturation = ((high - low) / FULL) / (high / FULL + 1e-7)
-    return [
-        _mean(F.sum(high), FULL).alias("img_brightness"),
-        F.round(F.avg(saturation), 6).alias("img_saturation"),
-        F.round(_std(gray(), FULL_GRAY), 6).alias("img_contrast"),
-        (F.count_if(gray() < 25500) / _n()).alias("img_black_frac"),
-        (F.count_if(gray() > 229500) / _n()).alias("img_white_frac"),
-        _mean(F.sum(F.col("r") - F.col("b")), FULL).alias("img_warmth"),
-    ]
-
+def _axis(size: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source cells, first of each target cell, how many): several when shrinking, one when growing."""
+    if size < target:
+        return np.arange(target) * size // target, np.arange(target), np.ones(target, dtype=np.int64)
+    cell = np.arange(size) * target // size
+    return np.arange(size), np.searchsorted(cell, np.arange(target)), np.bincount(cell, minlength=target)
 
-def histograms(bins: int = 8, levels: int = 256) -> list[Column]:
-    """Density per bin: the bins of a channel integrate to one over its levels."""
-    width = levels // bins
-    return [
-        (F.count_if(F.floor(F.col(c) / width) == k) / (_n() * width)).alias(f"img_{c}_h{k}")
-        for c in ("r", "g", "b")
-        for k in range(bins)
-    ]
 
+def block_average(levels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Block average to width x height cells, rounded half up to whole levels."""
+    rows, row_first, row_n = _axis(levels.shape[0], height)
+    columns, column_first, column_n = _axis(levels.shape[1], width)
+    sums = np.add.reduceat(np.add.reduceat(levels[rows][:, columns], row_first, axis=0), column_first, axis=1)
+    n = (row_n[:, None] * column_n)[:, :, None]
+    return (2 * sums + n) // (2 * n)
 
-def gray_mean() -> Column:
-    return _mean(F.sum(gray()), FULL_GRAY).alias("img_gray_mean")
 
+def shorter_side(levels: np.ndarray, side: int) -> np.ndarray:
+    """Keeps the aspect ratio; the longer side is cut to whole cells."""
+    height, width = levels.shape[:2]
+    short = min(height, width)
+    return block_average(levels, width * side // short, height * side // short)
 
-def gray_percentiles() -> Column:
-    """Exact interpolated percentiles as one array, still in gray units."""
-    points = F.array(*[F.lit(p / 100.0) for p in fixed.GRAY_PERCENTILES])
-    return F.percentile(gray(), points).alias("_percentiles")
 
+def center(levels: np.ndarray, side: int) -> np.ndarray:
+    """The middle side x side cells, fewer where the image is smaller."""
+    top, left = (int(np.rint((n - side) / 2)) for n in levels.shape[:2])
+    return levels[max(top, 0) : max(top + side, 0), max(left, 0) : max(left + side, 0)]
 
-def percentile_columns() -> list[Column]:
-    return [
-        F.round(F.col("_percentiles")[i] / FULL_GRAY, 6).alias(f"img_gray_p{p}")
-        for i, p in enumerate(fixed.GRAY_PERCENTILES)
-    ]
 
+def standardised(levels: np.ndarray) -> np.ndarray:
+    """Channel standardisation before inference."""
+    return (levels / FULL - np.array(fixed.CHANNEL_MEAN)) / np.array(fixed.CHANNEL_STD)
 
-def gray_grid() -> Column:
-    """Gray values of an image in row order, with its size."""
-    cells = F.array_sort(F.collect_list(F.struct("py", "px", gray().alias("v"))))
-    return F.struct(
-        F.transform(cells, lambda c: c["v"]).alias("v"), (F.max("px") + 1).alias("w")
-    ).alias("_grid")
 
+def _per_image(images: DataFrame, work: Callable[[np.ndarray], list], form: str, key: str) -> DataFrame:
+    """key and the columns of `form`, which `work` gives for the levels of a readable image."""
+    rows = images.select(
+        F.col(key).alias("key"), *[F.col(f"image.{c}").alias(c) for c in ("height", "width", "nChannels", "data")]
+    )
+    kind = rows.schema["key"].dataType.simpleString()
+    plain = {"double": pa.float64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+    names, kinds = zip(*(part.split() for part in form.split(", ")), strict=True)
+    arrow = [plain[k] for k in kinds]
 
-def edge_mean() -> Column:
-    """Half the mean absolute step down plus half the mean absolute step right."""
-    v, w = F.col("_grid.v"), F.col("_grid.w")
-    n = F.size(v)
-    zero = F.lit(0).cast("bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for fields in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                levels = decoded(*fields)
+                out.append([None] * len(names) if levels is None else work(levels))
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            arrays = [pa.array(c, t) for c, t in zip(columns, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["key", *names])
 
-    def total(steps: Column) -> Column:
-        return F.aggregate(steps, zero, lambda acc, x: acc + x)
+    return rows.mapInArrow(run, f"key {kind}, {form}").withColumnRenamed("key", key)
 
-    below = F.zip_with(F.slice(v, F.lit(1), n - w), F.slice(v, w + 1, n - w), lambda a, b: F.abs(b - a))
-    right = F.transform(
-        v, lambda x, i: F.when((i + 1) % w == 0, F.lit(0)).otherwise(F.abs(F.get(v, i + 1) - x))
-    )
-    down_mean = F.try_divide(total(below).cast("double"), n - w)
-    right_mean = F.try_divide(total(right).cast("double"), n - F.try_divide(n, w))
-    return ((down_mean + right_mean) / 2 / FULL_GRAY).alias("img_edge_mean")
-
-
-FEATURE_NAMES = tuple(
-    [f"img_{c}_{s}" for c in "rgb" for s in ("mean", "std")]
-    + ["img_brightness", "img_saturation", "img_contrast", "img_black_frac", "img_white_frac", "img_warmth"]
-    + [f"img_{c}_h{k}" for c in "rgb" for k in range(8)]
-    + ["img_gray_mean"]
-    + [f"img_gray_p{p}" for p in fixed.GRAY_PERCENTILES]
-    + ["img_edge_mean"]
-)
-
-
-def image_features(pixels: DataFrame, key: str = "id") -> DataFrame:
-    """All 43 statistics per image from one aggregation."""
-    grouped = pixels.groupBy(key).agg(
-        *channel_statistics(), *tone_statistics(), *histograms(), gray_mean(),
-        gray_percentiles(), gray_grid(),
-    )
-    done = set(grouped.columns)
-    return grouped.select(
-        key, *[F.col(c) for c in FEATURE_NAMES if c in done], *percentile_columns(), edge_mean()
-    )
 
+def image_features(images: DataFrame, key: str = "id", side: int | None = fixed.IMAGE_SIDE) -> DataFrame:
+    """All 43 statistics per image row, after resizing to side x side (not at all with None)."""
+    def work(levels: np.ndarray) -> list:
+        return statistics(levels if side is None else block_average(levels, side, side))
 
-def _covered(position: Column, size: Column, target: Column) -> Column:
-    """Target cells one source row or column belongs to: one when shrinking, a run when growing."""
-    first = F.when(size >= target, F.floor(position * target / size)).otherwise(
-        F.ceil(position * target / size)
-    )
-    last = F.when(size >= target, first).otherwise(F.ceil((position + 1) * target / size) - 1)
-    return F.explode(F.sequence(first.cast("int"), last.cast("int")))
+    return _per_image(images, work, ", ".join(f"{n} double" for n in FEATURE_NAMES), key)
 
 
-def resize(pixels: DataFrame, width: Column, height: Column, key: str = "id") -> DataFrame:
-    """Block average to width x height target cells, rounded half up to whole levels.
+def resized(images: DataFrame, side: int, key: str = "id", keep_aspect: bool = False, crop: int | None = None) -> DataFrame:
+    """(key, w, h, levels): R, G, B of the cells in row order, after resizing and an optional centre crop."""
+    def work(levels: np.ndarray) -> list:
+        small = shorter_side(levels, side) if keep_aspect else block_average(levels, side, side)
+        small = small if crop is None else center(small, crop)
+        return [small.shape[1], small.shape[0], small.ravel()]
 
-    Needs the source size in columns w and h; keeps the new size in them.
-    """
-    placed = pixels.withColumn("_w", width).withColumn("_h", height)
-    placed = placed.withColumn("_x", _covered(F.col("px"), F.col("w"), F.col("_w")))
-    placed = placed.withColumn("_y", _covered(F.col("py"), F.col("h"), F.col("_h")))
+    return _per_image(images, work, "w int, h int, levels array<int>", key)
 
-    def level(c: str) -> Column:
-        return F.floor((F.sum(c) * 2 + _n()) / (_n() * 2)).cast("int").alias(c)
 
-    cells = placed.groupBy(key, F.col("_x").alias("px"), F.col("_y").alias("py"), "_w", "_h").agg(
-        level("r"), level("g"), level("b")
-    )
-    return cells.select(
-        key, "px", "py", "r", "g", "b",
-        F.col("_w").cast("int").alias("w"), F.col("_h").cast("int").alias("h"),
-    )
+def model_inputs(images: DataFrame, side: int, crop: int, key: str = "id") -> DataFrame:
+    """(key, tensor): resized by the shorter side, cropped and standardised; crop x crop x 3 numbers.
 
+    An image that the crop does not fill counts as unreadable.
+    """
+    def work(levels: np.ndarray) -> list:
+        small = center(shorter_side(levels, side), crop)
+        return [standardised(small).ravel() if small.shape[:2] == (crop, crop) else None]
 
-def resize_square(pixels: DataFrame, side: int = fixed.IMAGE_SIDE, key: str = "id") -> DataFrame:
-    return resize(pixels, F.lit(side), F.lit(side), key)
+    return _per_image(images, work, "tensor array<double>", key)
 
 
-def resize_shorter_side(pixels: DataFrame, side: int, key: str = "id") -> DataFrame:
-    """Keeps the aspect ratio; the longer side is cut to whole cells."""
-    short = F.least("w", "h")
-    width = F.floor(F.col("w") * side / short).cast("int")
-    height = F.floor(F.col("h") * side / short).cast("int")
-    return resize(pixels, width, height, key)
-
-
-def center_crop(pixels: DataFrame, side: int) -> DataFrame:
-    left = F.rint((F.col("w") - side) / 2).cast("int")
-    top = F.rint((F.col("h") - side) / 2).cast("int")
-    x, y = F.col("px") - left, F.col("py") - top
-    inside = (x >= 0) & (x < side) & (y >= 0) & (y < side)
-    return pixels.filter(inside).select(
-        *[c for c in pixels.columns if c not in ("px", "py", "w", "h")],
-        x.alias("px"), y.alias("py"), F.lit(side).alias("w"), F.lit(side).alias("h"),
+def cells(rows: DataFrame, key: str = "id", values: str = "levels") -> DataFrame:
+    """(key, px, py, r, g, b) of resized images, for inspection."""
+    at = rows.select(key, "w", values, F.explode(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)).alias("i"))
+    return at.select(
+        key, (F.col("i") % F.col("w")).alias("px"), F.floor(F.col("i") / F.col("w")).cast("int").alias("py"),
+        *[F.get(values, F.col("i") * 3 + k).alias(c) for k, c in enumerate("rgb")],
     )
-
-
-def standardise() -> list[Column]:
-    """Channel standardisation before inference."""
-    return [
-        ((F.col(c) / FULL - mean) / std).alias(f"{c}_std")
-        for c, mean, std in zip(("r", "g", "b"), fixed.CHANNEL_MEAN, fixed.CHANNEL_STD, strict=True)
-    ]

@@ -58,42 +58,70 @@ def _check(names) -> str:
     return with_views("select id, " + ", ".join(f"{STATS[n]} as {n}" for n in names) + " from grays group by id", "grays")
 
 
+# Values that are not quotients of whole numbers are rounded for the comparison.
+ROUNDED = {
+    *(n for n in images.CHANNEL_NAMES if n.endswith("_std")), "img_saturation", "img_contrast",
+    *(n for n in images.GRAY_NAMES if "_p" in n),
+}
+
+
+def features(spark, sf, names):
+    found = images.image_features(views.images(spark, sf), side=None)
+    return found.select("id", *[F.round(n, 6).alias(n) if n in ROUNDED else F.col(n) for n in names])
+
+
 @query("img_channel_stats", _check(CHANNELS))
 def img_channel_stats(spark, sf):
-    return views.pixels(spark, sf).groupBy("id").agg(*images.channel_statistics())
+    return features(spark, sf, images.CHANNEL_NAMES)
 
 
 @query("img_tone", _check(TONES))
 def img_tone(spark, sf):
-    return views.pixels(spark, sf).groupBy("id").agg(*images.tone_statistics())
+    return features(spark, sf, images.TONE_NAMES)
 
 
 @query("img_histogram", _check(HISTOGRAMS))
 def img_histogram(spark, sf):
-    return views.pixels(spark, sf).groupBy("id").agg(*images.histograms())
+    return features(spark, sf, images.HISTOGRAM_NAMES)
 
 
 @query("img_gray_percentiles", _check(GRAYS))
 def img_gray_percentiles(spark, sf):
-    grouped = views.pixels(spark, sf).groupBy("id").agg(images.gray_mean(), images.gray_percentiles())
-    return grouped.select("id", "img_gray_mean", *images.percentile_columns())
+    return features(spark, sf, images.GRAY_NAMES)
 
 
 @query("img_edge", with_views(EDGE, "grays"))
 def img_edge(spark, sf):
-    return views.pixels(spark, sf).groupBy("id").agg(images.gray_grid()).select("id", images.edge_mean())
+    return features(spark, sf, ("img_edge_mean",))
 
 
-@query(
-    "image_features",
-    with_views(
-        "select s.*, img_edge_mean from (select id, " + ", ".join(f"{e} as {n}" for n, e in STATS.items())
-        + f" from grays group by id) s join ({EDGE}) using (id)",
-        "grays",
-    ),
+_ALL = (
+    "select s.*, img_edge_mean from (select id, " + ", ".join(f"{e} as {n}" for n, e in STATS.items())
+    + f" from grays group by id) s join ({EDGE}) using (id)"
 )
+
+
+@query("image_features", with_views(_ALL, "grays"))
 def image_features(spark, sf):
-    return images.image_features(views.pixels(spark, sf))
+    return features(spark, sf, images.FEATURE_NAMES)
+
+
+# Enlarging 8x8 images to 64x64 repeats every pixel, so only the edges differ from the source's.
+_LARGE = (
+    "select id, r, g, b, 299 * r + 587 * g + 114 * b as gray, px * 8 + dx as px, py * 8 + dy as py from pixels "
+    "cross join (select unnest(range(8)) as dx) cross join (select unnest(range(8)) as dy)"
+)
+
+
+@query(
+    "image_evidence",
+    with_views("select * from (with grays as (" + _LARGE + ") " + _ALL + ") where id not in (select vec_id from embeddings where label = 9)"
+               + " union all by name select vec_id as id from embeddings where label = 9", "pixels"),
+)
+def image_evidence(spark, sf):
+    """The 43 statistics as the pipeline uses them: resized to the standard side, unreadable images as nulls."""
+    found = images.image_features(views.images(spark, sf, broken=True))
+    return found.select("id", *[F.round(n, 6).alias(n) if n in ROUNDED else F.col(n) for n in images.FEATURE_NAMES])
 
 
 def _resized_sql(side: int) -> str:
@@ -106,7 +134,19 @@ def _resized_sql(side: int) -> str:
 
 @query("img_resize", with_views(_resized_sql(4), "pixels"))
 def img_resize(spark, sf):
-    return images.resize_square(views.pixels(spark, sf), 4).drop("w", "h")
+    return images.cells(images.resized(views.images(spark, sf), 4))
+
+
+@query(
+    "img_enlarge",
+    with_views(
+        "select id, cast(x as int) as px, cast(y as int) as py, r, g, b from pixels cross join (select unnest(range(20)) as x) "
+        "cross join (select unnest(range(20)) as y) where px = x * 8 // 20 and py = y * 8 // 20",
+        "pixels",
+    ),
+)
+def img_enlarge(spark, sf):
+    return images.cells(images.resized(views.images(spark, sf), 20))
 
 
 @query(
@@ -118,8 +158,7 @@ def img_resize(spark, sf):
     ),
 )
 def center_crop(spark, sf):
-    resized = images.resize_shorter_side(views.pixels(spark, sf), 4)
-    return images.center_crop(resized, 2).drop("w", "h")
+    return images.cells(images.resized(views.images(spark, sf), 4, keep_aspect=True, crop=2))
 
 
 @query(
@@ -135,5 +174,6 @@ def center_crop(spark, sf):
     ),
 )
 def pixel_standardise(spark, sf):
-    scaled = views.pixels(spark, sf).select("id", "px", "py", *images.standardise())
-    return scaled.select("id", "px", "py", *[F.round(f"{c}_std", 6).alias(f"{c}_std") for c in "rgb"])
+    tensors = images.model_inputs(views.images(spark, sf), 8, 8).select("id", F.lit(8).alias("w"), F.lit(8).alias("h"), "tensor")
+    found = images.cells(tensors, values="tensor")
+    return found.select("id", "px", "py", *[F.round(c, 6).alias(f"{c}_std") for c in "rgb"])

@@ -58,7 +58,7 @@ def record_matrix(spark, sf, seed=42, with_text=False, with_images=False):
     names = [c for c in feature_columns(features.columns) if c not in not_numeric]
     out = features.select("id", "y", "split", *names).join(encodings(features, seed), "id")
     if with_images:
-        out = joins.attach_evidence(out, images.image_features(views.pixels(spark, sf)))
+        out = joins.attach_evidence(out, images.image_features(views.images(spark, sf, broken=True)))
     if with_text:
         out = joins.attach_evidence(out, text_scores(features, seed))
     return out

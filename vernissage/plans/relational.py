@@ -52,6 +52,9 @@ def preds_roundtrip(spark, sf):
     return long.withColumn("p", F.round("p", 6))
 
 
+_MEANS = tuple(f"img_{c}_mean" for c in "rgb")
+
+
 @query(
     "image_scan_nulls",
     with_views(
@@ -62,11 +65,9 @@ def preds_roundtrip(spark, sf):
     ),
 )
 def image_scan_nulls(spark, sf):
-    scanned = views.images(spark, sf)
-    means = image_source.image_pixels(scanned).groupBy("id").agg(
-        *[c for i, c in enumerate(images.channel_statistics()) if i % 2 == 0]
-    )
-    return image_source.with_image_features(scanned, means)
+    scanned = views.images(spark, sf, broken=True)
+    found = images.image_features(scanned, side=None).select("id", *_MEANS)
+    return image_source.with_image_features(scanned, found)
 
 
 @query(
@@ -191,9 +192,7 @@ _SIDE_SQL = (
 
 
 def _image_side(spark, sf):
-    return views.pixels(spark, sf).groupBy("id").agg(
-        *[c for i, c in enumerate(images.channel_statistics()) if i % 2 == 0]
-    )
+    return images.image_features(views.images(spark, sf), side=None).select("id", *_MEANS)
 
 
 @query(

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vernissage.functions import fixed
+from vernissage.operators import images, vectors
 from vernissage.operators import text_vectors as tv
-from vernissage.operators import vectors
 from vernissage.plans import text, views
 from vernissage.plans.registry import query
+from vernissage.plans.views import with_views
 from vernissage.session import land
 
 SIZE = 64
@@ -32,6 +33,38 @@ def batch_inference(spark, sf):
     return rows.select("id", F.posexplode("v").alias("k", "v")).withColumn("v", F.round("v", 6))
 
 
+def channel_means():
+    """Stand-in for a caller's model on a crop of 4x4 cells: the mean of each channel."""
+    return lambda inputs: inputs.reshape(len(inputs), 16, 3).mean(axis=1)
+
+
+_STANDARD = ", ".join(
+    f"avg(({c} / 255.0::double - {m}::double) / {s}::double) as v{k}"
+    for k, (c, m, s) in enumerate(zip("rgb", fixed.CHANNEL_MEAN, fixed.CHANNEL_STD, strict=True))
+)
+
+
+@query(
+    "image_vectors",
+    with_views(
+        "select vec_id as id, cast(k as int) as k, round(coalesce(case k when 0 then v0 when 1 then v1 else v2 end "
+        "/ sqrt(v0 * v0 + v1 * v1 + v2 * v2), 0), 6) as v from embeddings left join ("
+        f"select id, {_STANDARD} from pixels where px between 2 and 5 and py between 2 and 5 group by id) i "
+        "on i.id = vec_id and label <> 9 cross join (select unnest(range(3)) as k)",
+        "pixels",
+    ),
+)
+def image_vectors(spark, sf):
+    """Image rows to model vectors: resize, crop, standardise, infer, zeros for failed images, unit length."""
+    scanned = views.images(spark, sf, broken=True)
+    inputs = images.model_inputs(scanned, 8, 4).filter("tensor is not null")
+    model = vectors.batch_inference(channel_means, 48)
+    found = inputs.select("id", model(F.col("tensor").cast("array<double>")).alias("vec"))
+    filled = vectors.with_zero_vectors(scanned.select("id"), found, 3)
+    unit = filled.select("id", vectors.l2_normalised().alias("v"))
+    return unit.select("id", F.posexplode("v").alias("k", "v")).withColumn("v", F.round("v", 6))
+
+
 @query(
     "zero_vector_fill",
     "select doc_id as id, cast(k as int) as k, coalesce(cast(embedding[k + 1] as double), 0) as v "

@@ -140,29 +140,15 @@ def pixel_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings(spark, sf_dir).select("id", "label", F.expr(f"transform(vec, v -> {level})").alias("v"))
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = pixel_levels(spark, sf_dir).select("id", "v", F.posexplode("v").alias("pos", "r"))
-    return at.select(
-        "id",
-        (F.col("pos") % 8).alias("px"),
-        F.floor(F.col("pos") / 8).cast("int").alias("py"),
-        "r",
-        F.get("v", (F.col("pos") + 21) % 64).alias("g"),
-        F.get("v", (F.col("pos") + 42) % 64).alias("b"),
-        F.lit(8).alias("w"),
-        F.lit(8).alias("h"),
-    )
-
-
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same images as rows of the image source; images of label 9 are unreadable (height -1)."""
+def images(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
+    """The images as rows of the image source; with `broken` those of label 9 are unreadable (height -1)."""
     byte = "lpad(hex({}), 2, '0')"
     packed = (
         "unhex(array_join(transform(sequence(0, 63), i -> concat("
         + ", ".join(byte.format(f"get(v, (i + {k}) % 64)") for k in (42, 21, 0))
         + ")), ''))"
     )
-    good = "label <> 9"
+    good = "label <> 9" if broken else "true"
     return pixel_levels(spark, sf_dir).select(
         "id",
         F.expr(

@@ -1,12 +1,9 @@
-"""Image scan: Spark's image rows to a pixel table; records without a readable image stay."""
+"""Image scan; records without a readable image stay."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -16,33 +13,6 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("id"), "image")
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _levels(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: np.frombuffer(b, dtype=np.uint8).astype(np.int32))
-
-
-def image_pixels(images: DataFrame, key: str = "id") -> DataFrame:
-    """(id, px, py, r, g, b, w, h) of readable images; stored bytes are in B, G, R order."""
-    channels = F.col("image.nChannels")
-    ok = images.filter((F.col("image.height") > 0) & channels.isin(1, 3, 4)).select(
-        key, F.col("image.width").alias("w"), F.col("image.height").alias("h"),
-        channels.alias("n"), _levels("image.data").alias("v"),
-    )
-    at = ok.select(
-        key, "w", "h", "n", "v", F.explode(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1)).alias("i")
-    )
-    start = F.col("i") * F.col("n")
-    one = F.col("n") == 1
-
-    def level(offset: int):
-        return F.get("v", start + F.when(one, F.lit(0)).otherwise(F.lit(offset)))
-
-    return at.select(
-        key, (F.col("i") % F.col("w")).alias("px"), F.floor(F.col("i") / F.col("w")).cast("int").alias("py"),
-        level(2).alias("r"), level(1).alias("g"), level(0).alias("b"), "w", "h",
-    )
-
-
 def with_image_features(ids: DataFrame, features: DataFrame, key: str = "id") -> DataFrame:
     """Every id; a missing or unreadable image gives a row of nulls."""
     return ids.select(key).join(features, key, "left")
