@@ -127,3 +127,10 @@ def test_record_features_are_stateless(spark, tmp_path):
     batch = fitted.apply(records)
     assert spark.table("scored").exceptAll(batch).count() == 0
     assert spark.table("scored").count() == batch.count()
+
+
+def test_tokens_that_differ_in_case_only(spark):
+    df = spark.createDataFrame([("Oil|ink",), ("oil",)], "cat string")
+    flags = df.select(*category.token_flags(["Oil", "ink", "oil", "OIL", "oil_2"]))
+    assert flags.columns == ["catk_Oil", "catk_ink", "catk_oil_2", "catk_OIL_3", "catk_oil_2_2"]
+    assert [tuple(r)[:4] for r in flags.collect()] == [(1, 1, 0, 0), (0, 0, 1, 0)]

@@ -21,11 +21,29 @@ def test_csv_with_crlf_quotes_and_null_text(spark, tmp_path):
     assert got[1].dim == "a\r\nb" and got[1].note == 'say "hi"' and got[1].y0 == 1900.0
     assert got[2].dim is None and got[2].y0 is None and got[2].note == "last"
     assert got[3].dim == "x, y" and got[3].y0 is None and got[3].note is None
-    wrong = T.StructType(SCHEMA.fields[::-1])
+    wrong = T.StructType(SCHEMA.fields[:-1])
     with pytest.raises(ValueError, match="differ"):
         records.read_records(spark, str(path), wrong)
 
 
+def test_csv_files_with_other_column_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,dim,y0,"no,te"\n1,a,1.5,x\n')
+    (tmp_path / "b.csv").write_text('y0,"no,te",id,dim\n2.5,y,2,b\n')
+    schema = T.StructType([*SCHEMA.fields[:3], T.StructField("no,te", T.StringType())])
+    got = sorted(tuple(r) for r in records.read_records(spark, str(tmp_path), schema).collect())
+    assert got == [(1, "a", 1.5, "x"), (2, "b", 2.5, "y")]
+    (tmp_path / "c.csv").write_text("id,dim\n3,c\n")
+    with pytest.raises(ValueError, match="differ"):
+        records.read_records(spark, str(tmp_path), schema)
+
+
+def test_csv_numbers(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text("id,dim,y0,note\n1.0,,3d,a\n2,,1900f,b\n 3 ,, 1e3 ,c\n4.5,,1_0,d\nx,,.5,e\n9007199254740993,,7.,f\n")
+    got = {r.note: (r.id, r.y0) for r in records.read_records(spark, str(path), SCHEMA).collect()}
+    assert got == {"a": (1, None), "b": (2, None), "c": (3, 1000.0), "d": (None, None), "e": (None, 0.5), "f": (9007199254740993, 7.0)}
+
+
 def test_predictions_roundtrip(spark, tmp_path):
     df = spark.createDataFrame([(1, [0.1, 0.9])], "id long, probs array<double>")
     records.write_predictions(df, str(tmp_path / "p"))

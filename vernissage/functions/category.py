@@ -38,11 +38,25 @@ def token_column(token: str) -> str:
     return "catk_" + column_suffix(token)[: fixed.TOKEN_NAME_LENGTH]
 
 
-def token_flags(tokens: Sequence[str], cat: str = "cat") -> list[Column]:
-    """Substring test of each token in the raw field; on equal names the later token wins."""
+def token_columns(tokens: Sequence[str]) -> dict[str, str]:
+    """Column name -> token. On equal names the later token wins; names that differ in case only get a number."""
     named = {token_column(t): t for t in tokens}
+    out: dict[str, str] = {}
+    taken = set()
+    for name, token in named.items():
+        free, n = name, 1
+        while free.lower() in taken:
+            n += 1
+            free = f"{name}_{n}"
+        taken.add(free.lower())
+        out[free] = token
+    return out
+
+
+def token_flags(tokens: Sequence[str], cat: str = "cat") -> list[Column]:
+    """Substring test of each token in the raw field."""
     text = F.coalesce(F.col(cat), F.lit(""))
-    return [flag(F.contains(text, F.lit(t))).alias(n) for n, t in named.items()]
+    return [flag(F.contains(text, F.lit(t))).alias(n) for n, t in token_columns(tokens).items()]
 
 
 def class_flags(field: str = "classification", names: Sequence[str] = fixed.CLASSIFICATIONS) -> list[Column]:

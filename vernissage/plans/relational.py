@@ -28,11 +28,26 @@ SCAN_SCHEMA = T.StructType(
 )
 
 
-@query("scan_records", with_views(f"select {', '.join(SCANNED)} from artworks", "artworks"))
+_YEAR = "case id % 4 when 0 then '3d' when 1 then cast(id % 1900 as string) || 'f' when 2 then ' ' || cast(id % 1900 as string) || '.50' else cast(y0 as string) end"
+_CLASS = "case id % 3 when 0 then cast(y as string) || '.0' when 1 then cast(y as string) else cast(y as string) || '.5' end"
+
+
+@query(
+    "scan_records",
+    with_views(
+        "select id, case id % 3 when 2 then null else y end as y, cap, "
+        "case id % 4 when 2 then (id % 1900) + 0.5::double when 3 then y0 end as y0, "
+        + ", ".join(c for c in SCANNED if c not in ("id", "y", "cap", "y0")) + " from artworks",
+        "artworks",
+    ),
+)
 def scan_records(spark, sf):
+    """Files with different column orders, whole numbers written with a point, and text that only looks like a number."""
     path = fresh_path(spark, "records-csv")
-    records.write_csv(views.artworks(spark, sf, texts=True).select(*SCANNED), path)
-    return records.read_records(spark, path, SCAN_SCHEMA)
+    rows = views.artworks(spark, sf, texts=True).withColumns({"y0": F.expr(_YEAR), "y": F.expr(_CLASS)})
+    records.write_csv(rows.filter("split = 'train'").select(*SCANNED), f"{path}/part=1")
+    records.write_csv(rows.filter("split <> 'train'").select(*reversed(SCANNED)), f"{path}/part=2")
+    return records.read_records(spark, f"{path}/*", SCAN_SCHEMA)
 
 
 @query("sink_roundtrip", with_views("select id, pred as y from decided join artworks using (id) where split = 'test'", "decided", "artworks"))

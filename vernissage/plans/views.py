@@ -24,7 +24,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 ARTWORKS = """
 select o_orderkey as id,
-  case when o_orderkey % 20 = 7 or o_orderkey % 40 = 19 then cast((o_orderkey + 1) % 8 as int)
+  case when o_orderkey % 20 = 7 or o_orderkey % 40 = 19 or o_orderkey % 37 = 3 then cast((o_orderkey + 1) % 8 as int)
+       when o_orderkey % 41 = 5 then cast((o_orderkey + 3 + o_orderkey % 3) % 8 as int)
        else cast(o_orderkey % 8 as int) end as y,
   case when o_orderkey % 97 = 0 then null else concat('A ',
     case o_orderkey % 8 when 0 then 'Acrylic' when 1 then 'ink' when 2 then 'oil on canvas'

@@ -2,47 +2,76 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vernissage.functions import fixed
-from vernissage.functions.numeric import nan_as_null
+from vernissage.functions.numeric import nan_as_null, to_number
+
+
+def headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Column names -> files that have them, for every CSV file of a path; reads the first split of each file."""
+    lines = spark.read.text(path, lineSep="\n").select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"),
+    ).filter("_metadata.file_block_start = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy("file").toLocalIterator():
+        names = tuple(next(csv.reader([row["header"].rstrip("\r")])))
+        found.setdefault(names, []).append(row["file"])
+    return found
+
+
+def typed(value: Column, kind: T.DataType) -> Column:
+    """Text as a value of a type; numbers must be written as plain numbers, and whole ones may end in `.0`."""
+    if isinstance(kind, T.StringType):
+        return value
+    if not isinstance(kind, T.NumericType):
+        return value.try_cast(kind)
+    number = to_number(value)
+    if not isinstance(kind, T.IntegralType):
+        return number.try_cast(kind)
+    plain = value.rlike(r"^\s*[+-]?\d+\s*$")
+    return F.when(plain, F.trim(value).try_cast(kind)).when(number % 1 == 0, number.try_cast(kind))
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType, null_tokens: Sequence[str] = fixed.NULL_TOKENS) -> DataFrame:
     """CSV scan with an explicit schema.
 
     Quoted fields may hold line breaks and doubled quotes; CRLF inside a field
-    is kept. Multi-line files are not splittable, so land the result as Parquet
-    when a table is read more than once.
+    is kept. Files may have their columns in any order, but each must have
+    exactly the columns of the schema. Multi-line files are not splittable, so
+    land the result as Parquet when a table is read more than once.
     """
-    # Checked here, because a CRLF header ends in a carriage return for the reader.
-    header = spark.read.text(path, lineSep="\n").first()
-    if header is None:
+    orders = headers(spark, path)
+    if not orders:
         raise ValueError(f"no header in {path}")
-    names = [n.strip('"') for n in header.value.rstrip("\r").split(",")]
-    if names != schema.names:
-        raise ValueError(f"CSV columns {names} differ from the schema {schema.names}")
-    last = schema.fields[-1].name
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    for names in orders:
+        if sorted(names) != sorted(schema.names):
+            raise ValueError(f"CSV columns {list(names)} differ from the schema {schema.names}")
+    parts = [_read_in_order(spark, path if len(orders) == 1 else files, names, schema, null_tokens) for names, files in orders.items()]
+    return nan_as_null(reduce(DataFrame.unionByName, parts))
+
+
+def _read_in_order(spark: SparkSession, path: str | list[str], names: tuple[str, ...], schema: T.StructType, null_tokens: Sequence[str]) -> DataFrame:
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
     raw = spark.read.csv(
         path, schema=text, header=True, multiLine=True, quote='"', escape='"', lineSep="\n",
         enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
 
-    def typed(field: T.StructField) -> Column:
-        value = F.col(field.name)
-        if field.name == last:  # CRLF files leave the carriage return on an unquoted last field
+    def field(f: T.StructField) -> Column:
+        value = F.col(f.name)
+        if f.name == names[-1]:  # CRLF files leave the carriage return on an unquoted last field
             value = F.regexp_replace(value, "\r$", "")
-        value = F.when(~value.isin(*null_tokens), value)
-        if not isinstance(field.dataType, T.StringType):
-            value = value.try_cast(field.dataType)
-        return value.alias(field.name)
+        return typed(F.when(~value.isin(*null_tokens), value), f.dataType).alias(f.name)
 
-    return nan_as_null(raw.select(*[typed(f) for f in schema.fields]))
+    return raw.select(*[field(f) for f in schema.fields])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
