@@ -17,7 +17,9 @@ from vernissage.session import land
 # Bytes of letters, digits and non-ASCII text are one class, other visible bytes the other.
 _CLASSES = np.where(bw.SPACE_BYTES, 0, np.where(bw.NOT_ALNUM_BYTES, 2, 1)).astype(np.uint8)
 _CLASSES[ord("A") : ord("Z") + 1] = 1
-_SLICE_BYTES = 1 << 20
+# Vectors of the words of a pooled slice fit into a core's cache; sums of contexts gain from longer slices.
+_POOL_BYTES = 1 << 15
+_SUM_BYTES = 1 << 22
 _WORD_SEED, _INDEX_SEED = 11, 12
 _EXTRA = 4
 
@@ -95,7 +97,7 @@ def word_vectors(docs: DataFrame, text: str = "text", settings: Settings = Setti
         for batch in batches:
             texts = batch.column(0)
             seen = seen or len(texts) > 0
-            for a, b in bw.slices(texts, 4 * _SLICE_BYTES):
+            for a, b in bw.slices(texts, _SUM_BYTES):
                 sums += context_sums(texts.slice(a, b - a), settings)
             salt = (salt + int(np.abs(sums).sum())) % 64
         if seen:
@@ -149,7 +151,7 @@ def pooled(texts: pa.Array, vectors: np.ndarray, settings: Settings) -> np.ndarr
 
 
 def _pooled_batch(texts: pa.Array, vectors: np.ndarray, settings: Settings) -> np.ndarray:
-    return np.concatenate([pooled(texts.slice(a, b - a), vectors, settings) for a, b in bw.slices(texts, _SLICE_BYTES)])
+    return np.concatenate([pooled(texts.slice(a, b - a), vectors, settings) for a, b in bw.slices(texts, _POOL_BYTES)])
 
 
 @dataclass
