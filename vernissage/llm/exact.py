@@ -9,7 +9,18 @@ from pyspark.sql import types as T
 from vernissage.llm.text import without_spaces
 from vernissage.session import fresh_path, land
 
-_STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# A state row is narrow beside a document, so the state is cut into this part of the shuffle partitions.
+STATE_SHARE = 4
+# State on disk; all stores of an executor share one bound on native memory, and a commit writes one small file.
+_STATE_SETTINGS = {
+    "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "rocksdb.changelogCheckpointing.enabled": "true",
+    "rocksdb.allowFAllocate": "false",
+    "rocksdb.boundedMemoryUsage": "true",
+    "rocksdb.maxMemoryUsageMB": "128",
+    "rocksdb.writeBufferSizeMB": "2",
+    "rocksdb.maxWriteBufferNumber": "2",
+}
 
 
 def sha256(normal: Column) -> Column:
@@ -56,10 +67,10 @@ def run_to_end(spark: SparkSession, path: str, schema: T.StructType, checkpoint:
     later files added to `path` meet the digests of earlier runs.
     """
     session = spark.newSession()
-    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_PROVIDER)
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.shuffle.partitions", max(1, partitions // STATE_SHARE))
+    for name, value in _STATE_SETTINGS.items():
+        session.conf.set(f"spark.sql.streaming.stateStore.{name}", value)
     source = session.readStream.schema(schema)
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
@@ -101,7 +112,7 @@ def exact_duplicates(
     shared = state.filter("members > 1")
     normal = without_spaces(F.col(text))
     full = docs.select(digest(normal).alias("digest"), locator(docs, text).alias("content"), normal.alias("normal"))
-    members = full.join(shared.select("digest", F.col("best.content").alias("kept_content")), "digest")
+    members = land(full.join(shared.select("digest", F.col("best.content").alias("kept_content")), "digest"), "dedup-members")
     kept_texts = members.filter("content = kept_content").groupBy("digest").agg(F.min("normal").alias("kept_normal"))
     differing = members.join(kept_texts, "digest").filter("normal <> kept_normal").select("digest").distinct()
     differing = land(differing, "dedup-differing")
@@ -128,6 +139,11 @@ def exact_duplicates(
 
 def without_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    stays = exact_duplicates(spark, docs, key, text).filter("kept").select(F.col("content").alias("_row"))
-    marked = docs.withColumn("_row", locator(docs, text))
-    return marked.join(stays, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    stays = exact_duplicates(spark, docs, key, text).filter("kept").select(F.col("content").alias("row"))
+    return rows_at(docs, stays, text)
+
+
+def rows_at(docs: DataFrame, stays: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs` whose locators are in `stays` (row); of rows repeated in full one."""
+    marked = docs.select(F.struct("*").alias("doc"), locator(docs, text).alias("row"))
+    return marked.join(stays, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vernissage.llm import bytewords as bw
-from vernissage.llm.exact import locator
+from vernissage.llm.exact import locator, rows_at
 from vernissage.llm.graph import components
 from vernissage.llm.linking import Joined
 from vernissage.llm.text import fixed_partitions
@@ -260,9 +260,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component stays: the smallest key, ties by content; all columns are kept."""
-    told = docs.select(F.col(key), F.col(text), locator(docs, text).alias("_row"))
-    found = near_duplicates(told, key, text)
-    order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r"))
-    stays = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f")).agg(F.min(order)["r"].alias("_row"))
-    marked = docs.withColumn("_row", locator(docs, text))
-    return marked.join(stays.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    told = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), locator(docs, text).alias("row"))
+    found = near_duplicates(told, "key")
+    order = F.struct(F.col("key").isNull().alias("n"), F.col("key").alias("k"), F.col("row").alias("r"))
+    nameless = F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f")
+    stays = found.groupBy("component_id", nameless).agg(F.min(order)["r"].alias("row"))
+    return rows_at(docs, stays.select("row"), text)
