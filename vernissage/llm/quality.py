@@ -17,9 +17,11 @@ from vernissage.session import land
 # Bytes of letters, digits and non-ASCII text are one class, other visible bytes the other.
 _CLASSES = np.where(bw.SPACE_BYTES, 0, np.where(bw.NOT_ALNUM_BYTES, 2, 1)).astype(np.uint8)
 _CLASSES[ord("A") : ord("Z") + 1] = 1
-# Vectors of the words of a pooled slice fit into a core's cache; sums of contexts gain from longer slices.
+# Vectors of the words of a pooled slice fit into a core's cache; sums of contexts gain from longer slices,
+# whose words are hashed in shorter ones.
 _POOL_BYTES = 1 << 15
-_SUM_BYTES = 1 << 22
+_HASH_BYTES = 1 << 18
+_SUM_BYTES = 1 << 21
 _WORD_SEED, _INDEX_SEED = 11, 12
 _EXTRA = 4
 
@@ -52,10 +54,14 @@ class Settings:
 
 def _tokens(texts: pa.Array, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(row of the vocabulary per token, first token per text)."""
-    data, offsets = bw.text_bytes(texts)
-    start, end, first = bw.token_spans(data, offsets, _CLASSES)
-    hashes = bw.word_hashes(data, start, end, _WORD_SEED)
-    return (hashes % np.uint64(settings.vocabulary)).astype(np.int64), first
+    tokens, firsts, seen = [np.zeros(0, dtype=np.int64)], [np.zeros(1, dtype=np.int64)], 0
+    for a, b in bw.slices(texts, _HASH_BYTES):
+        data, offsets = bw.text_bytes(texts.slice(a, b - a))
+        start, end, first = bw.token_spans(data, offsets, _CLASSES)
+        tokens.append((bw.word_hashes(data, start, end, _WORD_SEED) % np.uint64(settings.vocabulary)).astype(np.int64))
+        firsts.append(first[1:] + seen)
+        seen += len(start)
+    return np.concatenate(tokens), np.concatenate(firsts)
 
 
 def index_vectors(settings: Settings) -> tuple[np.ndarray, np.ndarray]:
