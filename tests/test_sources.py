@@ -1,7 +1,9 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import types as T
 
-from vernissage.session import land, land_once, shared_dir
+from vernissage.session import land, land_once, landing_scope, shared_dir
 from vernissage.sources import bindings, fetch, records
 
 SCHEMA = T.StructType(
@@ -79,3 +81,18 @@ def test_shared_folder_comes_from_the_session(spark):
 
     assert land_once(spark, ("once",), build).count() == land_once(spark, ("once",), build).count() == 3
     assert built == [1]
+
+
+def test_landed_tables_follow_their_inputs_and_go_with_the_scope(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.range(3).write.parquet(path)
+    source = lambda: spark.read.parquet(path)
+    with landing_scope(spark):
+        first = land_once(spark, ("followed",), lambda: source().selectExpr("id + 1 as id"), source())
+        assert first.count() == 3 and land(spark.range(2), "inside").count() == 2
+        spark.range(5).write.mode("overwrite").parquet(path)
+        second = land_once(spark, ("followed",), lambda: source().selectExpr("id + 1 as id"), source())
+        assert second.count() == 5
+        held = second.inputFiles()[0]
+    assert not Path(held.removeprefix("file://")).exists()
+    assert land_once(spark, ("followed",), source, source()).count() == 5

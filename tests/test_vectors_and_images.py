@@ -70,6 +70,27 @@ def test_tfidf_matches_brute_force(spark):
     assert again == got
 
 
+def test_documents_without_a_vocabulary_gram_are_zero_rows(spark):
+    docs = docs_frame(spark, TEXTS)
+    fitted, counts = tv.fit_counts(docs, limit=25)
+    rows = tv.weigh(counts, fitted)
+    assert sorted(r.id for r in rows.collect()) == sorted(r.id for r in docs.collect())
+    assert {r.id for r in rows.filter("size(idx) = 0").collect()} >= {2, 3}
+    unseen = docs_frame(spark, ["zzzz", None, TEXTS[0]])
+    assert [len(r.val) > 0 for r in tv.transform(unseen, fitted).orderBy("id").collect()] == [False, False, True]
+    scores = {r.id: list(r)[1:] for r in vectors.TruncatedSvd.fit(rows, 25, 3).scores(rows).collect()}
+    assert scores[2] == scores[3] == [0.0, 0.0, 0.0]
+
+
+def test_svd_takes_a_missing_vector_as_zeros(spark):
+    x = np.random.default_rng(4).normal(size=(20, 5))
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    gap, zeros = (spark.createDataFrame([*data, (99, v)], "id long, vec array<double>") for v in (None, [0.0] * 5))
+    a, b = (vectors.TruncatedSvd.fit(rows, 5, 5) for rows in (gap, zeros))
+    assert a.singular_values == pytest.approx(b.singular_values) and a.explained_ratio == pytest.approx(1.0)
+    assert a.scores(gap).orderBy("id").collect() == b.scores(zeros).orderBy("id").collect()
+
+
 @pytest.mark.parametrize(("iterations", "oversample"), [(12, 0), (5, 8)])
 def test_svd_matches_numpy(spark, iterations, oversample):
     x = np.random.default_rng(3).normal(size=(60, 12)) * np.linspace(5, 0.5, 12)

@@ -149,3 +149,11 @@ def encode_categories(df: DataFrame, train: DataFrame, fields: Sequence[str], ke
         )
         out = spread_lookup(out, table, [f], key)
     return out.select(*df.columns, *[f"{f}_code" for f in fields])
+
+
+def frequent_codes(df: DataFrame, train: DataFrame, field: str, most: int, key: str = "id") -> DataFrame:
+    """Adds `<field>_code` for the `most` most frequent training values, 0 for the first; others are null."""
+    top = train.filter(F.col(field).isNotNull()).groupBy(field).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), field).limit(most)
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("_n"), field)  # at most `most` rows
+    table = top.select(field, (F.row_number().over(order) - 1).alias(f"{field}_code"))
+    return df.join(F.broadcast(table), field, "left").select(*df.columns, f"{field}_code")

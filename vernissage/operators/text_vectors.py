@@ -1,7 +1,7 @@
 """Character n-gram TF-IDF in long form: (id, ngram, weight).
 
-Everything is counted per distinct word first. Documents are partitioned by id
-once; counts, weights and norms per document then need no further shuffle.
+Everything is counted per distinct word first; raw texts are not shuffled. Once
+counted, weights and norms of a document are computed inside its row.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from vernissage.functions import fixed
 from vernissage.functions.numeric import length_of, once, scaled
-from vernissage.session import all_partitions, land
+from vernissage.operators.joins import spread_lookup
+from vernissage.session import land
 
 
 def words(text: Column) -> Column:
@@ -35,15 +36,14 @@ def word_ngrams(word: Column, sizes: Sequence[int] = fixed.NGRAM_SIZES) -> Colum
 
 
 def document_words(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(id, word, n), partitioned by id."""
-    spread = all_partitions(docs.select(key, text), key)
-    return spread.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(
+    """(id, word, n); words are counted inside the row's task before they are shuffled, texts never are."""
+    return docs.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
 def document_ngrams(docs: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
-    """(id, ngram, tf), partitioned by id."""
+    """(id, ngram, tf)."""
     grams = document_words(docs, key, text).select(
         key, F.explode(word_ngrams(F.col("word"), sizes)).alias("ngram"), "n"
     )
@@ -51,16 +51,21 @@ def document_ngrams(docs: DataFrame, key: str = "id", text: str = "text", sizes:
 
 
 def vocabulary_counts(docs: DataFrame, vocabulary: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
-    """(id, position, tf) of the n-grams in a vocabulary, partitioned by id.
+    """(id, position, tf) of the n-grams in a vocabulary.
 
-    The vocabulary is small by its limit, hence the broadcast; n-grams are
-    counted under their number, not their text.
+    Every distinct word is cut up once and reduced to its vocabulary n-grams; the
+    words of the documents then look these short lists up. The vocabulary is
+    small by its limit, hence the broadcast.
     """
-    grams = document_words(docs, key, text).select(
-        key, F.explode(word_ngrams(F.col("word"), sizes)).alias("ngram"), "n"
-    )
+    counted = land(document_words(docs, key, text), "document-words")
+    sizes_of_words = counted.groupBy("word").agg(F.count(F.lit(1)).alias("_n"))
+    grams = sizes_of_words.select("word", F.explode(word_ngrams(F.col("word"), sizes)).alias("ngram"))
     known = grams.join(F.broadcast(vocabulary.select("ngram", "position")), "ngram")
-    return known.groupBy(key, "position").agg(F.sum("n").alias("tf"))
+    per_gram = known.groupBy("word", "position").agg(F.count(F.lit(1)).alias("times"))
+    lists = per_gram.groupBy("word").agg(F.collect_list(F.struct("position", "times")).alias("grams"))
+    found = spread_lookup(counted, lists, ["word"], key, sizes_of_words)
+    entries = found.select(key, "n", F.explode("grams").alias("g"))
+    return entries.groupBy(key, F.col("g.position").alias("position")).agg(F.sum(F.col("n") * F.col("g.times")).alias("tf"))
 
 
 def ngram_totals(docs: DataFrame, text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
@@ -78,11 +83,16 @@ def fit_vocabulary(docs: DataFrame, text: str = "text", sizes: Sequence[int] = f
 
 
 def count_rows(docs: DataFrame, vocabulary: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES) -> DataFrame:
-    """(id, idx, tf) arrays, one row per document with at most one entry per vocabulary n-gram."""
+    """(id, idx, tf) arrays, one row per document with at most one entry per vocabulary n-gram.
+
+    A null or empty document, or one without a vocabulary n-gram, has empty arrays.
+    """
     packed = vocabulary_counts(docs, vocabulary, key, text, sizes).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("position", "tf"))).alias("_p")
     )
-    return packed.select(key, F.col("_p.position").alias("idx"), F.col("_p.tf").alias("tf"))
+    none = F.array().cast(packed.schema["_p"].dataType)
+    every = docs.select(key).join(packed, key, "left").withColumn("_p", F.coalesce("_p", none))
+    return every.select(key, F.col("_p.position").alias("idx"), F.col("_p.tf").alias("tf"))
 
 
 def fit_counts(docs: DataFrame, key: str = "id", text: str = "text", sizes: Sequence[int] = fixed.NGRAM_SIZES, limit: int = fixed.MAX_NGRAMS) -> tuple[DataFrame, DataFrame]:

@@ -86,27 +86,24 @@ class TruncatedSvd:
     def scores(self, rows: DataFrame, key: str = "id", prefix: str = "svd_") -> DataFrame:
         """Row scores X V as columns <prefix>0, <prefix>1, ..."""
         components = self.components
-        n_features = components.shape[0]
+        names = ["vec"] if "vec" in rows.columns else ["idx", "val"]
+        kind = rows.schema[key].dataType.simpleString()
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def of_dense(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for vec in batches:
-                yield pd.Series(list(_dense((vec,), n_features) @ components))
-
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def of_sparse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.Series(list(_dense(batch, n_features) @ components))
+                block = _dense(tuple(batch[c] for c in names), components.shape[0])
+                yield pd.DataFrame({key: batch[key], "_s": list(block @ components)})
 
-        score = of_dense("vec") if "vec" in rows.columns else of_sparse("idx", "val")
-        scored = rows.select(key, score.alias("_s"))
+        scored = rows.select(key, *names).mapInPandas(score, f"{key} {kind}, _s array<double>")
         return scored.select(key, *[F.col("_s")[i].alias(f"{prefix}{i}") for i in range(components.shape[1])])
 
 
 def _dense(batch: tuple[pd.Series, ...], n_features: int) -> np.ndarray:
+    """Rows as one block; a null vector is a row of zeros, as where inference has failed."""
     if len(batch) == 1:
-        return np.stack(batch[0].to_numpy()).astype(float)
-    idx, val = batch
+        zeros = np.zeros(n_features)
+        return np.array([zeros if v is None else v for v in batch[0]], dtype=float).reshape(-1, n_features)
+    idx, val = (part.map(lambda v: () if v is None else v) for part in batch)
     out = np.zeros((len(idx), n_features))
     lengths = [len(i) for i in idx]
     if sum(lengths):
@@ -116,6 +113,7 @@ def _dense(batch: tuple[pd.Series, ...], n_features: int) -> np.ndarray:
 
 
 BLOCK_ROWS = 512
+WIDE_TASKS = 4
 
 
 def _gram_times(rows: DataFrame, basis: np.ndarray):
@@ -139,7 +137,8 @@ def _gram_times(rows: DataFrame, basis: np.ndarray):
                 {"j": np.arange(n_features), "n": n, "s": sums, "q": squares, "z": list(product)}
             )
 
-    parts = rows.mapInPandas(partial, "j int, n long, s double, q double, z array<double>")
+    wide = WIDE_TASKS * rows.sparkSession.sparkContext.defaultParallelism  # each task sends one partial product
+    parts = rows.coalesce(wide).mapInPandas(partial, "j int, n long, s double, q double, z array<double>")
     added = parts.groupBy("j").agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
         *[F.sum(F.col("z")[i]).alias(f"z{i}") for i in range(width)],

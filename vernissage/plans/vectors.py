@@ -87,28 +87,46 @@ def l2_normalise(spark, sf):
     return unit.select("id", F.posexplode("v").alias("k", "v")).withColumn("v", F.round("v", 6))
 
 
-def _unit(spark, sf):
+def unit_vectors(spark, sf):
     """Unit vectors, written once: fitting and scoring both read them."""
     return land(views.embeddings(spark, sf).select("id", vectors.l2_normalised().alias("vec")), "unit-vectors")
 
 
-@query("embedding_svd")
+def score_columns(fitted, prefix):
+    return [F.col(f"{prefix}{i}") for i in range(fitted.components.shape[1])]
+
+
+@query("embedding_svd", f"select vec_id as id, 1.0::double as energy, cast({SIZE} as int) as n_scores from embeddings")
 def embedding_svd(spark, sf):
-    rows = _unit(spark, sf)
-    return vectors.TruncatedSvd.fit(rows, SIZE, SVD_VECTORS).scores(rows, prefix="rn_")
+    """With as many scores as inputs the scores keep the length of every row."""
+    rows = unit_vectors(spark, sf)
+    fitted = vectors.TruncatedSvd.fit(rows, SIZE, SIZE)
+    scores = score_columns(fitted, "rn_")
+    energy = F.round(sum((c * c for c in scores[1:]), scores[0] * scores[0]), 6)
+    return fitted.scores(rows, prefix="rn_").select("id", energy.alias("energy"), F.lit(len(scores)).alias("n_scores"))
 
 
-@query("svd_explained")
+@query("svd_explained", f"select count(*) as n_rows, cast({SIZE} as int) as k, 1.0::double as explained_ratio, true as less_with_fewer from embeddings")
 def svd_explained(spark, sf):
-    rows = _unit(spark, sf)
-    fitted = vectors.TruncatedSvd.fit(rows, SIZE, SVD_VECTORS)
+    """All variance with as many scores as inputs, less with fewer."""
+    rows = unit_vectors(spark, sf)
+    whole, part = (vectors.TruncatedSvd.fit(rows, SIZE, k) for k in (SIZE, SVD_VECTORS))
     return rows.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        "n_rows", F.lit(SVD_VECTORS).alias("k"), F.lit(fitted.explained_ratio).alias("explained_ratio")
+        "n_rows", F.lit(SIZE).alias("k"), F.lit(round(whole.explained_ratio, 6)).alias("explained_ratio"),
+        F.lit(0 < part.explained_ratio < whole.explained_ratio).alias("less_with_fewer"),
     )
 
 
-@query("text_svd")
+@query("text_svd", f"select doc_id as id, cast({SVD_TEXT} as int) as n_scores, true as within_row, true as orthogonal from documents")
 def text_svd(spark, sf):
+    """Scores never exceed a row's length (1 here), and the score columns are orthogonal."""
     fitted, counts = tv.fit_counts(text.documents(spark, sf))
     rows = land(tv.weigh(counts, fitted), "text-rows")
-    return vectors.TruncatedSvd.fit(rows, fixed.MAX_NGRAMS, SVD_TEXT).scores(rows)
+    svd = vectors.TruncatedSvd.fit(rows, fixed.MAX_NGRAMS, SVD_TEXT)
+    scored = land(svd.scores(rows), "text-scores")
+    c = score_columns(svd, "svd_")
+    products = scored.agg(*[F.sum(c[i] * c[j]).alias(f"p{i}_{j}") for i in range(4) for j in range(i + 1)]).first()
+    crossed = max(abs(products[f"p{i}_{j}"]) for i in range(4) for j in range(i))
+    orthogonal = crossed <= 1e-6 * max(products["p0_0"], 1.0)
+    energy = sum((x * x for x in c[1:]), c[0] * c[0])
+    return scored.select("id", F.lit(len(c)).alias("n_scores"), (energy <= 1 + 1e-9).alias("within_row"), F.lit(orthogonal).alias("orthogonal"))

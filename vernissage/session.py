@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
-
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_WRITTEN: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path)
+    return path
 
 
 def all_partitions(df: DataFrame, *keys: str) -> DataFrame:
@@ -65,9 +71,22 @@ def land(df: DataFrame, label: str) -> DataFrame:
 _LANDED: dict[tuple, str] = {}
 
 
-def land_once(spark: SparkSession, name: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """Table written once per application and read by every later step that names it."""
-    name = (spark.sparkContext.applicationId, *name)
+def inputs_of(*tables: DataFrame) -> str:
+    """Digest of the files behind tables that were read from files, with their sizes and times of change."""
+    digest = hashlib.sha256()
+    for df in tables:
+        files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        for row in files.orderBy("file_path").toLocalIterator():
+            digest.update(repr(tuple(row)).encode())
+    return digest.hexdigest()
+
+
+def land_once(spark: SparkSession, name: tuple, build: Callable[[], DataFrame], *inputs: DataFrame) -> DataFrame:
+    """Table written once per application and read by every later step that names it.
+
+    `inputs` are the tables it is built from; when their files change, it is built anew.
+    """
+    name = (spark.sparkContext.applicationId, *name, inputs_of(*inputs))
     if name in _LANDED:
         try:
             return spark.read.parquet(_LANDED[name])
@@ -77,3 +96,20 @@ def land_once(spark: SparkSession, name: tuple, build: Callable[[], DataFrame])
     build().write.parquet(path)
     _LANDED[name] = path
     return spark.read.parquet(path)
+
+
+@contextmanager
+def landing_scope(spark: SparkSession) -> Iterator[None]:
+    """What is landed inside the block is removed at its end, so read results before that."""
+    held = list(_WRITTEN)
+    _WRITTEN.clear()
+    try:
+        yield
+    finally:
+        for path in _WRITTEN:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        gone = set(_WRITTEN)
+        for name in [n for n, path in _LANDED.items() if path in gone]:
+            del _LANDED[name]
+        _WRITTEN[:] = held
