@@ -16,7 +16,7 @@ HEADLINE = (
     "weak_label_accuracy", "confusion_pairs", "null_profile", "category_top30", "keyword_flags",
     "feature_matrix", "stratified_folds", "oof_encode", "test_encode", "material_flags", "rule_accuracy",
     "image_features", "seed_blend", "override_top_k", "attribution_rules", "batch_plan", "ngram_vocab",
-    "tfidf_weights", "embedding_svd", "oof_trees_alt",
+    "tfidf_weights", "embedding_svd", "training_matrix", "oof_trees_alt",
 )
 
 
