@@ -19,8 +19,11 @@ LIKENESS = 0.9
 
 @dataclass(frozen=True)
 class Settings:
-    """`fit_rows` bounds the sample the codebooks are fitted on, `probe_rows` the sample whose links
-    are searched by brute force to set how many cells are visited; all rows are indexed and searched.
+    """`fit_rows` bounds the sample the codebooks are fitted on; all rows are indexed and searched.
+
+    How many cells are visited is set by samples of `probe_rows` rows: partners planted at the least
+    likeness, and links found by brute force, in up to `probe_blocks` samples until `linked_probes`
+    rows with links are seen.
 
     A codebook has about sqrt(rows / per_cell) entries, `most_codes` at most. Cells and queries of a
     cell are cut into tiles of `tile` rows.
@@ -30,6 +33,8 @@ class Settings:
     recall: float = 0.99
     fit_rows: int = 20_000
     probe_rows: int = 1024
+    probe_blocks: int = 8
+    linked_probes: int = 64
     per_cell: int = 64
     most_codes: int = 1024
     least_visits: int = 8
@@ -115,41 +120,70 @@ def fit_grid(groups: DataFrame, width: int, count: int, settings: Settings) -> G
     return Grid(fit_codebook(units[:, :half], k, settings), fit_codebook(units[:, half:], k, settings))
 
 
+def planted_partners(units: np.ndarray, likeness: float, seed: int) -> np.ndarray:
+    """For each unit row another at exactly this cosine, in a random direction."""
+    away = np.random.default_rng(seed).normal(size=units.shape)
+    away -= (away * units).sum(1, keepdims=True) * units
+    return likeness * units + (1 - likeness**2) ** 0.5 * away / np.linalg.norm(away, axis=1, keepdims=True)
+
+
+def quantile_rank(rank: np.ndarray, weight: np.ndarray, share: float) -> int:
+    """The number of cells within which this share of the weight lies."""
+    order = np.argsort(rank, kind="stable")
+    reached = np.cumsum(weight[order]) / weight.sum()
+    return int(rank[order][min(np.searchsorted(reached, share - 1e-12), len(rank) - 1)]) + 1
+
+
 def visits_for_recall(groups: DataFrame, grid: Grid, width: int, settings: Settings) -> int:
-    """Cells to visit so that the mean share of found links over probe rows reaches the target.
+    """Cells to visit so that the share of found links reaches the target.
 
-    The probe rows meet all rows; what comes back is one number per probe row
-    and rank.
+    A partner at the least likeness is planted for each probe row, so the number
+    does not depend on how many links the table has. Probe rows also meet all
+    rows, block by block until enough of them have links; the share of all
+    their links and the mean share per probe row must reach the target too. What
+    comes back is one number per probe row and rank.
     """
-    probe = groups.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(settings.probe_rows).select("rep", "v").collect()
-    probes = unit(np.array([r["v"] for r in probe], dtype=np.float64).reshape(len(probe), width))
-    reps = np.array([r["rep"] for r in probe])
+    some = groups.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(settings.probe_rows * settings.probe_blocks)
+    some = some.select("rep", "v").collect()
+    sampled = unit(np.array([r["v"] for r in some], dtype=np.float64).reshape(len(some), width))
+    sampled_reps = np.array([r["rep"] for r in some])
+
+    def links(probes: np.ndarray, reps: np.ndarray) -> list:
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                units = unit(matrix(batch.column(1), width))
+                if not len(units):
+                    continue
+                cells, own = grid.own_cells(units), np.asarray(batch.column(0))
+                near = (probes @ units.T >= settings.likeness) & (reps[:, None] != own)
+                out: list[tuple[int, int, int]] = []
+                for q in np.flatnonzero(near.any(1)).tolist():
+                    ranks, counts = np.unique(grid.ranks(probes[q], cells[near[q]]), return_counts=True)
+                    out.extend(zip([q] * len(ranks), ranks.tolist(), counts.tolist(), strict=True))
+                columns = list(zip(*out, strict=True)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["q", "rank", "n"])
+
+        found = groups.select("rep", "v").mapInArrow(measure, "q bigint, rank bigint, n bigint")
+        return found.groupBy("q", "rank").agg(F.sum("n").alias("n")).collect()
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            units = unit(matrix(batch.column(1), width))
-            if not len(units):
-                continue
-            cells, own = grid.own_cells(units), np.asarray(batch.column(0))
-            near = (probes @ units.T >= settings.likeness) & (reps[:, None] != own)
-            out: list[tuple[int, int, int]] = []
-            for q in np.flatnonzero(near.any(1)).tolist():
-                ranks, counts = np.unique(grid.ranks(probes[q], cells[near[q]]), return_counts=True)
-                out.extend(zip([q] * len(ranks), ranks.tolist(), counts.tolist(), strict=True))
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["q", "rank", "n"])
-
-    found = groups.select("rep", "v").mapInArrow(measure, "q bigint, rank bigint, n bigint").groupBy("q", "rank").agg(F.sum("n").alias("n")).collect()
     cells = len(grid.first) * len(grid.second)
-    least = min(settings.least_visits, cells)
-    if not found:
-        return least
-    q, rank, n = (np.array([r[c] for r in found]) for c in ("q", "rank", "n"))
-    weight = n / np.bincount(q, n)[q]
-    order = np.argsort(rank, kind="stable")
-    share = np.cumsum(weight[order]) / len(np.unique(q))
-    enough = rank[order][np.searchsorted(share, settings.recall - 1e-12)] + 1
-    return int(min(cells, max(least, enough)))
+    enough = [min(settings.least_visits, cells)]
+    if width > 1:
+        first = sampled[: settings.probe_rows]
+        own = grid.own_cells(planted_partners(first, settings.likeness, settings.seed))
+        planted = np.array([grid.ranks(u, own[i : i + 1])[0] for i, u in enumerate(first)])
+        enough.append(quantile_rank(planted, np.ones(len(planted)), settings.recall))
+    found: list[tuple[int, int, int]] = []
+    for at in range(0, len(sampled), settings.probe_rows):
+        block = slice(at, at + settings.probe_rows)
+        found += [(at + r["q"], r["rank"], r["n"]) for r in links(sampled[block], sampled_reps[block])]
+        if len({q for q, _, _ in found}) >= settings.linked_probes:
+            break
+    if found:
+        q, rank, n = np.array(found).T
+        enough.append(quantile_rank(rank, n, settings.recall))
+        enough.append(quantile_rank(rank, n / np.bincount(q, n)[q], settings.recall))
+    return min(cells, max(enough))
 
 
 _PLACED = "rep bigint, v array<float>, m bigint, cell bigint, visits array<bigint>"
