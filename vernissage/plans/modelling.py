@@ -335,8 +335,8 @@ def model_overrides(spark, sf):
 @query("feature_importance", "select cast(15 as bigint) as n_features, true as named, true as shares, true as accurate")
 def feature_importance(spark, sf):
     """Fifteen most important features for one class and what shuffling each one costs."""
-    train, _, names = assembled(spark, sf, kind="linear")
-    found = models.importance_for_class(train, names, target=7, top=15, trees=8, depth=5)
+    train, _, names = assembled(spark, sf)
+    found = models.importance_for_class(train, names, target=7, top=15, trees=12, depth=6, max_bins=MAX_BINS)
     return found.agg(
         F.count_distinct("feature").alias("n_features"), F.bool_and(F.col("feature").isin(names)).alias("named"),
         F.bool_and(F.col("importance").between(0, 1)).alias("shares"),
