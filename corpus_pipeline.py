@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vernissage.llm import exact, mixing, packing, quality, simhash, similar
+from vernissage.llm import exact, mixing, packing, quality, simhash
 from vernissage.llm.text import table
 from vernissage.session import land
 
@@ -28,15 +28,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first of each group of linked fingerprints: op6's contract as a stage, not part of STAGES."""
+    """The first of each group of linked fingerprints, with op6's shingle length and bit distance."""
     return simhash.without_near_duplicates(docs)
 
 
-def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first of each group of texts linked by five-word shingles at a similarity of 0.8 or more."""
-    return similar.without_similar_texts(docs)
-
-
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
@@ -50,7 +45,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
-    ("near-dedup", similar_stage),
+    ("SimHash near-dedup", simhash_stage),
     ("mixing", mixing_stage),
     ("best-fit packing", packing_stage),
 ]
