@@ -53,6 +53,21 @@ def test_substrings_of_random_copies(spark):
     assert told(substring.dedup_substrings(frame, chunk_bytes=1500, block_cells=512)) == plain_substrings(rows)
 
 
+def pattern_words(n):
+    """Two words of n bytes that are complements of each other in a pattern polynomials modulo 2**64 cannot tell apart."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_substrings_tell_long_words_apart(spark, n):
+    one, other = pattern_words(n)
+    shared = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{shared} {one} end"), (2, f"{shared} {other} end"), (3, f"x {shared} {other}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert told(substring.dedup_substrings(frame)) == plain_substrings(rows)
+
+
 def test_substrings_of_nothing(no_docs):
     assert substring.dedup_substrings(no_docs).count() == 0
 
@@ -166,6 +181,54 @@ def test_links_join_what_is_linked(spark, free, limit):
     assert root.tolist() == plain_components(codes)
 
 
+def test_one_index_finds_the_links_of_many_groups():
+    """Groups of all sizes in one run, small ones included, against all pairs."""
+    rng = random.Random(8)
+    group, codes = [], []
+    for g in range(300):
+        own = dense_codes(rng.choice([1, 2, 3, 20, 150]), g, rng.choice([6, 10, 64]))
+        own.sort(key=lambda c: gray(c))
+        group += [g] * len(own)
+        codes += own
+    i, j = simhash.linked_codes(np.array(codes, dtype=np.uint64), np.array(group))
+    assert all(group[a] == group[b] and (codes[a] ^ codes[b]).bit_count() <= 3 for a, b in zip(i, j))
+    root = list(range(len(codes)))
+    for g in range(300):
+        at = [n for n, h in enumerate(group) if h == g]
+        for n, r in zip(at, plain_components([codes[n] for n in at])):
+            root[n] = at[r]
+    got = np.arange(len(codes))
+    for _ in range(len(codes)):
+        before = got.copy()
+        np.minimum.at(got, i, got[j])
+        np.minimum.at(got, j, got[i])
+        if np.array_equal(before, got):
+            break
+    assert got.tolist() == root
+
+
+def gray(code):
+    for shift in (1, 2, 4, 8, 16, 32):
+        code ^= code >> shift
+    return code
+
+
+@pytest.mark.parametrize("rows", [[(1, "a b c d")], [(1, None), (2, "")], [(7, "x y z")] * 3])
+def test_simhash_of_a_single_group(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("code", F.lit("own"))
+    got = simhash.near_duplicates(frame.coalesce(1)).collect()
+    assert [(r.component_id, r.code) for r in got] == [(rows[0][0], "own")] * len(rows)
+
+
+def test_simhash_group_over_several_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        test_links_join_what_is_linked(spark, 12, 20_000)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_gray_neighbours_differ_in_one_bit(spark):
     ranked = spark.range(256).select("id", simhash.gray_rank(F.col("id")).alias("rank")).orderBy("rank").collect()
     assert all((a.id ^ b.id).bit_count() == 1 for a, b in zip(ranked, ranked[1:]))

@@ -6,9 +6,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
+# A polynomial modulo 2**64 tells words apart up to about a thousand bytes only; longer words than this get XXH64.
+_LONG_WORD = 64
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -72,14 +75,17 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit hash of each word: a polynomial in its bytes over 2**64, scrambled, by prefix sums."""
+    """64-bit hash of each word: a polynomial in its bytes over 2**64, scrambled, by prefix sums; XXH64 of long words."""
     codes = mixed(np.arange(256, dtype=np.uint64) + np.uint64(seed * int(_ODD) & _ALL))
     base = int(mixed(np.array([seed + 1], dtype=np.uint64))[0]) | 1
     inverse = pow(base, -1, 2**64)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(codes[data] * _powers(base, len(data)), dtype=np.uint64, out=sums[1:])
     back = _powers(inverse, len(data) + 1)
-    return mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * _ODD)
+    out = mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * _ODD)
+    for n in np.flatnonzero(end - start > _LONG_WORD).tolist():
+        out[n] = xxhash.xxh64_intdigest(data[start[n] : end[n]], seed)
+    return out
 
 
 def window_hashes(words: np.ndarray, n: int, seed: int) -> np.ndarray:

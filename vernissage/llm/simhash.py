@@ -27,7 +27,6 @@ _SLICE_BYTES = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _FANOUT = 16
-_SMALL = 64
 
 
 def fingerprint_bytes(texts: pa.Array, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -138,21 +137,27 @@ def groups_to_search(codes: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
         rows = land(finer.distinct(), "simhash-keys")
 
 
-def linked_in_group(codes: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) that join all codes within the distance, for distinct codes in Gray order.
+def linked_codes(codes: np.ndarray, group: np.ndarray | None = None, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) that join all codes of one group within the distance, for codes sorted by group and Gray rank.
 
     Neighbours in Gray order share long runs of bits. Each node of the index
     covers 16 nodes below and keeps the bits they all share, as a mask and a
-    pattern. Two nodes are followed down only while the differences in the bits
-    fixed on both sides stay within the distance and they are not yet joined.
+    pattern, and the range of groups it covers. Two nodes are followed down only
+    while they have a group in common, the differences in the bits fixed on both
+    sides stay within the distance and they are not yet joined.
     """
-    fixed_ones, fixed_any = [codes], [codes]
+    if not len(codes):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    group = np.zeros(len(codes), dtype=np.int64) if group is None else group
+    fixed_ones, fixed_any, lowest, highest = [codes], [codes], [group], [group]
     while len(fixed_ones[-1]) > 1:
         at = np.arange(0, len(fixed_ones[-1]), _FANOUT)
         fixed_ones.append(np.bitwise_and.reduceat(fixed_ones[-1], at))
         fixed_any.append(np.bitwise_or.reduceat(fixed_any[-1], at))
+        lowest.append(lowest[-1][at])
+        highest.append(highest[-1][np.append(at[1:], len(highest[-1])) - 1])
     joined = Joined(len(codes))
-    near = np.flatnonzero(np.bitwise_count(codes[1:] ^ codes[:-1]) <= distance)
+    near = np.flatnonzero((np.bitwise_count(codes[1:] ^ codes[:-1]) <= distance) & (group[1:] == group[:-1]))
     kept = [joined.link(near, near + 1)]
     stack = [(len(fixed_ones) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
     while stack:
@@ -160,6 +165,7 @@ def linked_in_group(codes: np.ndarray, distance: int = DISTANCE) -> tuple[np.nda
         ones, any_ = fixed_ones[level], fixed_any[level]
         same = ~(ones ^ any_)
         alive = np.bitwise_count((ones[i] ^ ones[j]) & same[i] & same[j]) <= distance
+        alive &= (lowest[level][i] <= highest[level][j]) & (lowest[level][j] <= highest[level][i])
         i, j = i[alive], j[alive]
         if level == 0:
             pair = i < j
@@ -181,28 +187,9 @@ def linked_in_group(codes: np.ndarray, distance: int = DISTANCE) -> tuple[np.nda
 
 
 def _links(group: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Linking pairs of all groups in a run of whole groups."""
-    bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    sizes = np.diff(bounds)
-    left, right = [], []
-    small = np.repeat(sizes <= _SMALL, sizes)
-    at = np.flatnonzero(small)
-    g, c, step = group[at], codes[at], 1
-    while step < min(_SMALL, len(g)):
-        pair = np.flatnonzero(g[step:] == g[:-step])
-        if not len(pair):
-            break
-        near = pair[np.bitwise_count(c[pair] ^ c[pair + step]) <= DISTANCE]
-        left.append(c[near])
-        right.append(c[near + step])
-        step += 1
-    for b in np.flatnonzero(sizes > _SMALL):
-        own = codes[bounds[b] : bounds[b + 1]]
-        i, j = linked_in_group(own)
-        left.append(own[i])
-        right.append(own[j])
-    none = np.zeros(0, dtype=np.uint64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    """Linking pairs of all groups in a run of whole groups, from one index over the run."""
+    i, j = linked_codes(codes, group)
+    return codes[i], codes[j]
 
 
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,18 +231,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     bits are linked; a component has all rows that links reach, and its id is
     the smallest key in it (null keys only where all are null). Null texts
     count as empty. Repeated rows share fingerprint and component. An empty
-    table gives no rows. Columns named like the added ones are replaced.
+    table gives no rows. Columns named like the two added ones are replaced.
     """
-    added = {"code", "fingerprint", "component_id"}
-    rows = land(fingerprints(docs.select(*[c for c in docs.columns if c.lower() not in added]), text), "simhash-codes")
-    codes = land(rows.groupBy("code").agg(F.min(key).alias("first")), "simhash-distinct")
+    added = {"fingerprint", "component_id"}
+    columns = [c for c in docs.columns if c != text and c.lower() not in added]
+    told = docs.select(F.struct(*columns).alias("doc") if columns else F.lit(None).alias("doc"), F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = land(fingerprints(told), "simhash-codes")
+    codes = land(rows.groupBy("code").agg(F.min("key").alias("first")), "simhash-distinct")
     linked = land(components(linking_pairs(codes, limit)), "simhash-components")
     named = codes.join(linked, F.col("code") == F.col("node"), "left")
     group = F.coalesce("component", "code")
     firsts = named.groupBy(group.alias("group")).agg(F.min("first").alias("component_id"))
     of_code = named.select("code", group.alias("group")).join(firsts, "group").select("code", "component_id")
-    columns = [c for c in rows.columns if c != "code"]
-    return rows.join(of_code, "code").select(*columns, F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+    hexed = F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint")
+    return rows.join(of_code, "code").select(*[F.col("doc")[c].alias(c) for c in columns], hexed, "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

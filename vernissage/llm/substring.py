@@ -83,7 +83,7 @@ class Chunk:
             at, row = window_starts(first, n)
             word = bw.word_hashes(data, start, end, 3)
             hashes.append(bw.window_hashes(word, n, 1)[at])
-            other = bw.window_hashes(bw.mixed(word ^ np.uint64(0xA5A5A5A55A5A5A5A)), n, 2)[at]
+            other = bw.window_hashes(bw.word_hashes(data, start, end, 11), n, 2)[at]
             seconds.append((other >> np.uint64(32)).astype(np.uint32))
             rows.append(row + a)
         self.hashes, self.seconds, self.rows = (np.concatenate(x) for x in (hashes, seconds, rows))
@@ -118,7 +118,8 @@ def dedup_substrings(
 
     The sketch never counts too little, so every repeated window reaches the
     exact pass, whatever the size of the sketch; a small sketch only lets more
-    windows through. Windows are told apart there by 96 bits of hash.
+    windows through. Windows are told apart there by 96 bits, from two hashes of
+    the words' bytes that are independent of each other.
 
     Null texts have no words. A null key comes after all others; rows that share
     a key count as one after the other, in the order of their texts, so of rows
