@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vernissage.llm import chat, exact, licenses, mixing, packing, pii, quality, simhash, substring, vectors
+from vernissage.llm import chat, exact, licenses, mixing, packing, pii, quality, secrets, simhash, substring, vectors
 from vernissage.llm.text import table
 
 QUERIES = {}
@@ -118,3 +118,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
