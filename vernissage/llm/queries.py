@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vernissage.llm import chat, exact, licenses, mixing, packing, pii, quality, secrets, simhash, substring, vectors
+from vernissage.llm import chat, divergence, exact, licenses, mixing, packing, pii, quality, secrets, simhash, substring, vectors
 from vernissage.llm.text import table
 
 QUERIES = {}
@@ -123,3 +123,49 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+CHECKS["op12_source_divergence"] = r"""
+with told as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+terms as (select id, lang, source, unnest(words) as term from told),
+kept as (select lang, term from terms group by lang, term having count(distinct id) >= 30),
+counts as (
+  select t.lang, t.source, t.term, count(*) as n from terms t semi join kept k on t.lang = k.lang and t.term = k.term
+  group by t.lang, t.source, t.term),
+vocabulary as (select lang, count(*) as v from kept group by lang),
+sums as (select lang, source, sum(n) as total from counts group by lang, source),
+groups as (
+  select g.lang, g.source, coalesce(s.total, 0)::hugeint as total, coalesce(v.v, 0)::hugeint as v
+  from (select distinct lang, source from told) g
+  left join sums s on g.lang = s.lang and g.source = s.source left join vocabulary v on g.lang = v.lang),
+shares as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v) as p
+  from groups g join kept k on g.lang = k.lang
+  left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+whole as (
+  select lang, term, 1 + (1000000000::hugeint * (sum(n) + 5)) // (sum(sum(n)) over (partition by lang) + 5 * count(*) over (partition by lang)) as q
+  from shares group by lang, term),
+pairs as (
+  select a.lang, a.source, b.source as item, cast(coalesce(sum(abs(x.p - y.p)), 0) as bigint) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join shares x on x.lang = a.lang and x.source = a.source
+  left join shares y on y.lang = b.lang and y.source = b.source and y.term = x.term
+  group by a.lang, a.source, b.source),
+above as (
+  select s.lang, s.source, s.term as item, cast(s.p - w.q as bigint) as value
+  from shares s join whole w on s.lang = w.lang and s.term = w.term where s.n > 0 and s.p > w.q)
+select lang, source, 'pair' as part, item, value,
+  cast(row_number() over (partition by lang, source order by value desc, item) as int) as rank from pairs
+union all
+select * from (select lang, source, 'term' as part, item, value,
+  cast(row_number() over (partition by lang, source order by value desc, item) as int) as rank from above) where rank <= 50
+"""
