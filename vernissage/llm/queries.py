@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vernissage.llm import chat, divergence, exact, licenses, mixing, packing, pii, quality, secrets, simhash, substring, vectors
+from vernissage.llm import chat, divergence, exact, licenses, mixing, packing, phrases, pii, quality, secrets, simhash, substring, vectors
 from vernissage.llm.text import table
 
 QUERIES = {}
@@ -169,3 +169,38 @@ union all
 select * from (select lang, source, 'term' as part, item, value,
   cast(row_number() over (partition by lang, source order by value desc, item) as int) as rank from above) where rank <= 50
 """
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+CHECKS["op11_phrases"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+told as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+sums as (select lang, cast(sum(len(w)) as hugeint) as n from told group by lang),
+placed as (select lang, w, unnest(generate_series(1, len(w))) as i from told where len(w) > 0),
+grams as (
+  select lang, k as words, array_to_string(list_slice(w, i, i + k - 1), ' ') as phrase, count(*) as f
+  from placed, generate_series(1, 5) t(k) where i + k - 1 <= len(w) group by all having count(*) >= 100),
+cuts as (
+  select g.lang, g.phrase, g.words, g.f, k,
+    array_to_string(list_slice(string_split(phrase, ' '), 1, k), ' ') as head,
+    array_to_string(list_slice(string_split(phrase, ' '), k + 1, words), ' ') as rest
+  from grams g, generate_series(1, 4) t(k) where k < words),
+scored as (
+  select c.lang, c.phrase, c.words, c.f as a, c.k, h.f as l, r.f as r, s.n,
+    (1000::hugeint * c.f * s.n) // (h.f::hugeint * r.f) as score
+  from cuts c join grams h on h.lang = c.lang and h.phrase = c.head join grams r on r.lang = c.lang and r.phrase = c.rest
+  join sums s on s.lang = c.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_ as (
+  select g.lang, array_to_string(list_slice(string_split(phrase, ' '), i, i + m - 1), ' ') as phrase, max(f) as f
+  from grams g, generate_series(2, 4) t(m), generate_series(1, 4) u(i) where m < words and i + m - 1 <= words group by all),
+left_ as (select b.* from best b left join inner_ x on x.lang = b.lang and x.phrase = b.phrase where x.f is null or 100 * x.f < 100 * b.a)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from left_) where rank <= 2000
+"""
