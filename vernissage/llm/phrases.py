@@ -13,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vernissage.llm import bytewords as bw
-from vernissage.llm.substring import pack_sorted, unpack_sorted
+from vernissage.llm.substring import pack, pack_sorted, unpack, unpack_sorted
 from vernissage.operators.joins import spread_lookup
 from vernissage.session import land
 
@@ -40,6 +42,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CHUNK = pa.schema([("lang", pa.string()), ("tail", pa.bool_()), ("chunk", pa.string()), ("n", pa.int64())])
 _PARTS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())])
+_LISTS = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("numbers", pa.binary()), ("texts", pa.binary())])
 _PHRASES = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
@@ -161,7 +164,8 @@ def phrase_counts(
     Parts of the dictionary add up their phrases in hashed cells; blocks of
     cells add up the parts and send back which of its cells reach `least`. A
     cell never counts too little, so phrases outside such cells are not
-    frequent, and those inside are counted by their words.
+    frequent, and those inside are counted by their words: a part sends its sums
+    as packed lists, dealt into as many shards as there are parts.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
@@ -196,40 +200,67 @@ def phrase_counts(
                 out.append((block, part, pack_sorted(places)))
         return _table(out, _PARTS)
 
-    def exact(table: pa.Table, frequent: pa.Table) -> pa.Table:
+    def frequent(table: pa.Table, flags: pa.Table) -> pa.Table:
         if not len(table):
-            return _PHRASES.empty_table()
+            return _table([], _LISTS)
         part = Part(table, longest)
-        told = zip(frequent.column("block").to_pylist(), frequent.column("payload"), strict=True)
+        told = zip(flags.column("block").to_pylist(), flags.column("payload"), strict=True)
         passing = [unpack_sorted(payload.as_py(), "u4")[0].astype(np.uint64) + edges[block] for block, payload in told]
         passing = np.sort(np.concatenate([np.zeros(0, np.uint64), *passing]))
-        found = []
+        total, found = np.zeros(len(part.langs.dictionary), dtype=np.int64), []
         for data, start, end, n, at, row, cell in part.phrases(width):
+            if n == 1:
+                np.add.at(total, part.lang[row], part.weight[row])
             if len(passing):
                 place = np.minimum(np.searchsorted(passing, cell), len(passing) - 1)
                 own = np.flatnonzero(passing[place] == cell)
+                shard = (cell[own] % np.uint64(parts)).astype(np.int32)
                 phrase = sliced(data, start[at[own]], end[at[own] + n - 1])
-                rows = pa.table({"lang": pa.array(part.lang[row[own]]), "phrase": phrase, "n": pa.array(part.weight[row[own]])})
-                found.append((n, _summed(rows)))
-            if n == 1:
-                total = np.zeros(len(part.langs.dictionary), dtype=np.int64)
-                np.add.at(total, part.lang[row], part.weight[row])
-                everything = {"lang": pa.array(np.arange(len(total), dtype=part.lang.dtype)), "phrase": pa.array([""] * len(total), pa.large_string()), "n": pa.array(total)}
-                found.append((0, pa.table(everything)))
-        out = []
-        for n in sorted({n for n, _ in found}):
-            rows = _summed(pa.concat_tables([t.cast(pa.schema([("lang", pa.int32()), ("phrase", pa.large_string()), ("n", pa.int64())])) for m, t in found if m == n]))
-            names = part.langs.dictionary.take(rows.column("lang").combine_chunks())
-            out.append(pa.table([names, pa.array(np.full(len(rows), n), pa.int32()), rows.column("phrase").cast(pa.string()), rows.column("n")], schema=_PHRASES))
-        return pa.concat_tables([_PHRASES.empty_table(), *out])
+                found.append(_summed(_rows(shard, part.lang[row[own]], np.full(len(own), n), phrase, part.weight[row[own]])))
+        found.append(_rows(np.zeros(len(total)), np.arange(len(total)), np.zeros(len(total)), pa.array([""] * len(total), pa.large_string()), total))
+        return _lists(_summed(pa.concat_tables(found)), part.langs.dictionary)
+
+    def add(table: pa.Table) -> pa.Table:
+        langs, rows = {}, []
+        for lang, numbers, texts in zip(table.column("lang").to_pylist(), table.column("numbers"), table.column("texts"), strict=True):
+            length, words, n = unpack(numbers.as_py(), "u4", "u1", "i8")
+            offsets = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+            phrase = pa.Array.from_buffers(pa.large_string(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(zstandard.decompress(texts.as_py()))])
+            rows.append(_rows(np.zeros(len(n)), np.full(len(n), langs.setdefault(lang, len(langs))), words, phrase, n))
+        sums = _summed(pa.concat_tables(rows))
+        sums = sums.filter(pc.or_(pc.equal(sums["words"], 0), pc.greater_equal(sums["n"], least)))
+        names = pa.array(list(langs), pa.string()).take(sums.column("lang").combine_chunks())
+        return pa.table([names, sums.column("words"), sums.column("phrase").cast(pa.string()), sums.column("n")], schema=_PHRASES)
 
     flags = chunks.groupBy("part").applyInArrow(sketch, "block int, part int, payload binary").groupBy("block").applyInArrow(merge, "block int, part int, payload binary")
-    counted = chunks.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(exact, "lang string, words int, phrase string, n bigint")
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("words") == 0) | (F.col("n") >= least))
+    lists = chunks.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(frequent, "shard int, lang string, numbers binary, texts binary")
+    return lists.groupBy("shard").applyInArrow(add, "lang string, words int, phrase string, n bigint")
+
+
+_COUNTED = pa.schema([("shard", pa.int32()), ("lang", pa.int32()), ("words", pa.int32()), ("phrase", pa.large_string()), ("n", pa.int64())])
+
+
+def _rows(shard: np.ndarray, lang: np.ndarray, words: np.ndarray, phrase: pa.Array, n: np.ndarray) -> pa.Table:
+    numbers = [pa.array(x.astype(np.int32)) for x in (shard, lang, words)]
+    return pa.table([*numbers, phrase, pa.array(n.astype(np.int64))], schema=_COUNTED)
 
 
 def _summed(rows: pa.Table) -> pa.Table:
-    return rows.group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["lang", "phrase", "n"])
+    keys = ["shard", "lang", "words", "phrase"]
+    return rows.group_by(keys).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(_COUNTED.names)
+
+
+def _lists(rows: pa.Table, langs: pa.Array) -> pa.Table:
+    """One row per shard and language: lengths, word counts, sums and the bytes of its phrases."""
+    rows = rows.take(pa.array(np.lexsort([rows.column(c).to_numpy() for c in ("lang", "shard")])))
+    shard, lang, words, n = (rows.column(c).to_numpy() for c in ("shard", "lang", "words", "n"))
+    data, offsets = bw.text_bytes(rows.column("phrase").cast(pa.large_binary()))
+    bounds = np.append(np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (lang[1:] != lang[:-1]))[: len(n)]), len(n))
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        numbers = pack(np.diff(offsets[a : b + 1]).astype(np.uint32), words[a:b].astype(np.uint8), n[a:b])
+        out.append((int(shard[a]), langs[int(lang[a])].as_py(), numbers, zstandard.compress(data[offsets[a] : offsets[b]].tobytes(), 1)))
+    return _table(out, _LISTS)
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
