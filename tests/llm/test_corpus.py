@@ -51,6 +51,19 @@ def test_mixing(spark, wide_docs, no_docs):
     assert mixing.mix(no_docs).count() == mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_mixing_spreads_rows_without_a_turn(spark):
+    """Sources at their cap, and one whose open share is tiny, in few and many ranges: same rows."""
+    rows = [(i, "a" if i < 3000 else "b" if i < 3003 else "c", 1) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    told = [Counter(mixing.mix(frame, size=F.col("n"), buckets=b).collect()) for b in (1, 7, None)]
+    assert told[0] == told[1] == told[2]
+    taken = Counter()
+    for r in told[0]:
+        taken[r.source] += r.taken
+    for r in told[0]:
+        assert abs(taken[r.source] - r.target) <= 0.5
+
+
 def test_mixing_prefers_documents_of_higher_propensity(spark):
     rows = [(i, "a" if i < 2000 else "b", 10, 9.0 if i % 2 else 1.0) for i in range(4000)]
     frame = spark.createDataFrame(rows, "doc_id long, source string, n long, p double")
@@ -150,6 +163,23 @@ def test_vectors(spark, tile):
     assert len(rows) - len(good) == odd
 
 
+def test_vectors_of_every_length_and_size(spark):
+    rng = np.random.default_rng(2)
+    rows = [[1.0], [1.0], [-3.0], [1e39, 0.0], [1.0, 0.0], [0.0, 5e-300], [1e308] * 3, [1.0] * 3, [1.0, 1.0, 2.6], [1.0, 1.0, 2.5], [float("inf"), 1.0]]
+    rows += rng.normal(size=(40, 5)).tolist() + [(np.ones(7) + rng.normal(size=7) * 0.45).tolist() for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicate_vectors(frame, settings=vectors.Settings(recall=1.0)).collect()}
+    near = np.zeros((len(rows), len(rows)), dtype=bool)
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            if i != j and len(a) == len(b) and np.isfinite(a + b).all():
+                near[i, j] = vectors.unit(np.array([a]))[0] @ vectors.unit(np.array([b]))[0] >= 0.9
+    root = np.arange(len(rows))
+    for _ in rows:
+        root = np.array([min(root[i], root[near[i]].min(initial=root[i])) for i in range(len(rows))])
+    assert near[:11].any() and near[51:].sum() > 50 and got == {i: (int(near[i].sum()), int(root[i])) for i in range(len(rows))}
+
+
 def test_no_link_below_the_threshold_and_empty_tables(spark):
     rows = [(i, [math.cos(a), math.sin(a)]) for i, a in enumerate(np.arange(0, 6, 0.5).tolist())]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -13,7 +13,9 @@ from vernissage.session import land
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-BUCKETS = 4096
+# A range of random numbers of one source holds about so many rows, or all ranges together as many as there are of them.
+ROWS_PER_BUCKET = 2048
+LEAST_BUCKETS = 4096
 # The table of sources is broadcast up to this many rows of about 100 bytes, and joined by shuffle beyond.
 BROADCAST_SOURCES = 50_000
 _RANDOM_BITS = 52
@@ -66,7 +68,7 @@ def mix(
     most: float = MOST,
     propensity: Column | None = None,
     seed: int = 7,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     carry: Sequence[str] | None = None,
 ) -> DataFrame:
     """Adds size, source_size, target, copies and taken to every row of `docs`.
@@ -82,9 +84,10 @@ def mix(
     cut where the words taken come nearest to the target, so a source misses
     its target by less than half a document.
 
-    The order is ranked inside `buckets` ranges per source, with running sums
-    of range totals before each, so a source with most of the rows is spread
-    over many tasks.
+    The order is ranked inside `buckets` ranges of the random number per source,
+    with running sums of range totals before each, so a source with most of the
+    rows is spread over many tasks; by default their number grows with the rows.
+    Rows that have no turn, as those of a source at its cap, are spread the same way.
 
     A null source is a source of its own; null and empty texts have size 0 and
     never matter to a target. A null key draws like the word "null". Repeated
@@ -102,8 +105,11 @@ def mix(
         (propensity if propensity is not None else F.lit(1.0)).cast("double").alias("_propensity"),
         random_unit(F.col(key), seed).alias("_u"),
     ).withColumn("_name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
-    sums = rows.groupBy("_name", "source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_propensity")).alias("_mass"))
+    mass = F.sum(F.col("size") * F.col("_propensity")).alias("_mass")
+    sums = rows.groupBy("_name", "source").agg(F.sum("size").alias("source_size"), mass, F.count(F.lit(1)).alias("_rows"))
     totals = land(sums, "mix-sources")
+    n_sources, n_rows = totals.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    buckets = buckets or max(LEAST_BUCKETS, -(-n_rows // ROWS_PER_BUCKET))
     targets = source_targets(totals.select("source", "source_size"), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = (
@@ -113,13 +119,16 @@ def mix(
         .withColumn("_open", F.col("target") - F.col("_whole") * F.col("source_size"))
         .drop("source")
     )
-    if totals.count() <= BROADCAST_SOURCES:
+    if n_sources <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     p = F.least(F.lit(1.0), F.col("_open") * F.col("_propensity") / F.col("_mass"))
     odds = F.when(F.col("_mass") <= 0, F.lit(None)).when(p >= 1, 0.0).when(p > 0, (F.col("_u") / (1 - F.col("_u"))) / (p / (1 - p)))
     ranked = rows.join(plan, "_name").withColumn("_odds", odds)
-    place = F.floor(buckets * F.col("_odds") / (1 + F.col("_odds"))).cast("int")
-    ranked = ranked.withColumn("_bucket", F.coalesce(place, F.lit(buckets)))
+    # With equal propensities the odds times those of the source's open share are the random number's own odds.
+    open_share = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("_open") / F.col("source_size")))
+    own_odds = F.col("_odds") * open_share / (1 - open_share)
+    place = F.floor(buckets * own_odds / (1 + own_odds)).cast("long")
+    ranked = ranked.withColumn("_bucket", F.coalesce(place, buckets + 1 + F.floor(buckets * F.col("_u")).cast("long")))
     held = ranked.groupBy("_name", "_bucket").agg(F.sum("size").alias("_held"))
     before = Window.partitionBy("_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = held.select("_name", "_bucket", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))

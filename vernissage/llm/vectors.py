@@ -186,9 +186,6 @@ def visits_for_recall(groups: DataFrame, grid: Grid, width: int, settings: Setti
     return min(cells, max(enough))
 
 
-_PLACED = "rep bigint, v array<float>, m bigint, cell bigint, visits array<bigint>"
-
-
 def _place(grid: Grid, width: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +259,9 @@ def search(groups: DataFrame, width: int, settings: Settings = Settings()) -> Da
         return groups.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("m").alias("n"))
     grid = fit_grid(groups, width, count, settings)
     n = visits_for_recall(groups, grid, width, settings)
-    placed = land(groups.select("rep", "v", "m").mapInArrow(_place(grid, width, n), _PLACED), "vectors-placed")
+    parts = groups.schema["v"].dataType.simpleString()
+    placed = f"rep bigint, v {parts}, m bigint, cell bigint, visits array<bigint>"
+    placed = land(groups.select("rep", "v", "m").mapInArrow(_place(grid, width, n), placed), "vectors-placed")
     visiting = placed.select(*[F.col(c).alias(f"_{c}") for c in ("rep", "v", "m", "cell")], F.explode("visits").alias("at"))
     tiles = lambda rows, name: F.ceil(F.col(rows) / settings.tile).cast("int").alias(name)
     indexed_n = placed.groupBy(F.col("cell").alias("at")).agg(F.count(F.lit(1)).alias("_x"))
@@ -287,26 +286,31 @@ def near_duplicate_vectors(table: DataFrame, key: str = "vec_id", vector: str =
     made and the share of links found is set by `recall`. Equal vectors are
     searched once and count as often as they occur.
 
-    Vectors that are null, zero, or hold nulls or non-finite parts, and those
-    whose length is not the most frequent one, link with nothing. Component ids
-    are the smallest key in the component (null where all are null), and a row
-    is kept when its key is that id. Repeated rows are vectors of their own.
-    An empty table gives no rows; other columns are ignored.
+    Vectors that are null, zero, or hold nulls or non-finite parts link with
+    nothing; vectors of different lengths do not link with each other, and each
+    length is searched as a table of its own, one after another. Floats stay
+    floats, other numbers are taken as doubles. Component ids are the smallest
+    key in the component (null where all are null), and a row is kept when its
+    key is that id. Repeated rows are vectors of their own. An empty table gives
+    no rows; other columns are ignored.
     """
-    rows = land(table.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v"), F.monotonically_increasing_id().alias("row")), "vectors-rows")
-    finite = "v is not null and size(v) > 1 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('inf')) and exists(v, x -> x <> 0)"
+    parts = "array<float>" if table.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = land(table.select(F.col(key).alias("key"), F.col(vector).cast(parts).alias("v"), F.monotonically_increasing_id().alias("row")), "vectors-rows")
+    finite = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('inf')) and exists(v, x -> x <> 0)"
     usable = rows.filter(finite)
-    width = usable.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = width["w"] if width else 2
-    usable = usable.filter(F.size("v") == width)
     groups = land(usable.groupBy("v").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("m")), "vectors-distinct")
-    found = land(search(groups, width, settings), "vectors-links")
+    widths = sorted(r["w"] for r in groups.select(F.size("v").alias("w")).distinct().collect()) or [1]
+    found = None
+    for width in widths:
+        links = search(groups.filter(F.size("v") == width), width, settings)
+        found = links if found is None else found.unionByName(links)
+    found = land(found, "vectors-links")
     credits = found.filter("b = -1").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("_others"))
     linked = components(found.filter("b <> -1"))
     of_rep = groups.join(credits, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(
         "rep", "v", (F.coalesce("_others", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
     )
-    named = rows.select("row", "key", F.when(F.expr(finite) & (F.size("v") == width), F.col("v")).alias("v")).join(of_rep, "v", "left")
+    named = rows.select("row", "key", F.when(F.expr(finite), F.col("v")).alias("v")).join(of_rep, "v", "left")
     named = land(named.select("row", "key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "row").alias("component")), "vectors-named")
     firsts = named.groupBy("component").agg(F.min("key").alias("component_id"))
     return named.join(firsts, "component").select(
