@@ -1,10 +1,14 @@
+import csv
+import random
+from contextlib import contextmanager
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vernissage.session import land, land_once, landing_scope, shared_dir
-from vernissage.sources import bindings, fetch, records
+from vernissage.sources import bindings, fetch, quoted, records
 
 SCHEMA = T.StructType(
     [
@@ -39,6 +43,69 @@ def test_csv_files_with_other_column_orders(spark, tmp_path):
         records.read_records(spark, str(tmp_path), schema)
 
 
+@contextmanager
+def split_size(spark, n_bytes):
+    names = {"spark.sql.files.maxPartitionBytes": str(n_bytes), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(path, rows, end):
+    with open(path, "w", newline="") as out:
+        csv.writer(out, lineterminator=end).writerows([SCHEMA.names, *rows])
+
+
+@pytest.mark.parametrize(("n_bytes", "n_rows", "end"), [(9, 3, "\r\n"), (40, 15, "\n"), (333, 40, "\r\n"), (1 << 20, 40, "\n")])
+def test_csv_records_do_not_depend_on_the_splits(spark, tmp_path, n_bytes, n_rows, end):
+    rng = random.Random(n_bytes)
+    texts = ["plain", 'say ""hi""', '"', "a\nb", "a\r\nb\n\nc", ",", '",\n"', "\n" * 30, "é, ß\n\"", '\n"\n,"', "x" * 90, 'mid"quote']
+    for name in "ab":
+        written(tmp_path / f"{name}.csv", [(i, rng.choice(texts), i / 2, rng.choice(texts)) for i in range(n_rows)], end)
+    want = []
+    for name in "ab":
+        with open(tmp_path / f"{name}.csv", newline="") as told:
+            want += [(int(r[0]), r[1], float(r[2]), r[3]) for r in list(csv.reader(told))[1:]]
+    with split_size(spark, n_bytes):
+        frame = records.read_records(spark, str(tmp_path), SCHEMA)
+        got = [tuple(r) for r in frame.collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_a_quoted_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "one.csv"
+    written(path, [(i, f"line\nbreak {i}", 0.5, "x") for i in range(1500)], "\n")
+    with split_size(spark, 4096):
+        lines = spark.read.text(str(path), lineSep="\n")
+        assert lines.rdd.getNumPartitions() >= 10
+        value = quoted.read_quoted(spark, str(path))
+        own = value.filter("value like '%break%'").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert own >= 4 and value.count() == 1500
+
+
+def test_csv_with_stray_quotes_and_blank_lines(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text('id,dim,y0,note\n1,12" wide,1,a\n\n2,"x\ny",2,5"\n3,z,3,"open\nto the end\n')
+    for n_bytes in (11, 1 << 20):
+        with split_size(spark, n_bytes):
+            got = {r.id: (r.dim, r.note) for r in records.read_records(spark, str(path), SCHEMA).collect()}
+        assert got[1] == ('12" wide', "a") and got[2] == ("x\ny", '5"') and got[3][0] == "z" and len(got) == 3
+
+
+@pytest.mark.parametrize(
+    ("line", "after"),
+    [("a,b", (False, None)), ('"a', (True, False)), ('a"', (False, False)), ('"a"', (False, False)), ('"a""', (True, False)), ('""', (False, True)), ('x","y', (True, True)), (',"', (True, False)), ('"a""b",c', (False, False))],
+)
+def test_open_quotes(line, after):
+    got = quoted.open_after(line)
+    assert got[0] == after[0] and after[1] in (None, got[1])
+
+
 def test_csv_numbers(spark, tmp_path):
     path = tmp_path / "n.csv"
     path.write_text("id,dim,y0,note\n1.0,,3d,a\n2,,1900f,b\n 3 ,, 1e3 ,c\n4.5,,1_0,d\nx,,.5,e\n9007199254740993,,7.,f\n")

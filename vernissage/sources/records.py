@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from vernissage.functions import fixed
 from vernissage.functions.numeric import nan_as_null, to_number
+from vernissage.sources.quoted import read_quoted
 
 
 def headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
@@ -45,8 +46,8 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, null_toke
 
     Quoted fields may hold line breaks and doubled quotes; CRLF inside a field
     is kept. Files may have their columns in any order, but each must have
-    exactly the columns of the schema. Multi-line files are not splittable, so
-    land the result as Parquet when a table is read more than once.
+    exactly the columns of the schema. A file is read by as many tasks as it has
+    splits, in two passes, so land the result as Parquet when it is read more than once.
     """
     orders = headers(spark, path)
     if not orders:
@@ -59,16 +60,13 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType, null_toke
 
 
 def _read_in_order(spark: SparkSession, path: str | list[str], names: tuple[str, ...], schema: T.StructType, null_tokens: Sequence[str]) -> DataFrame:
-    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.csv(
-        path, schema=text, header=True, multiLine=True, quote='"', escape='"', lineSep="\n",
-        enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
+    form = ", ".join(f"c{i} string" for i in range(len(names)))
+    options = {"quote": '"', "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    parsed = read_quoted(spark, path).select(F.from_csv("value", form, options).alias("r"))
+    raw = parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
 
     def field(f: T.StructField) -> Column:
-        value = F.col(f.name)
-        if f.name == names[-1]:  # CRLF files leave the carriage return on an unquoted last field
-            value = F.regexp_replace(value, "\r$", "")
+        value = F.col(f"`{f.name}`")
         return typed(F.when(~value.isin(*null_tokens), value), f.dataType).alias(f.name)
 
     return raw.select(*[field(f) for f in schema.fields])
