@@ -92,6 +92,77 @@ def _prior_without_fold(df: DataFrame, label: str, fold: str, n_classes: int) ->
     return counts.select(fold, F.array(*shares).alias("_prior"))
 
 
+def ordered_encoding(
+    df: DataFrame,
+    seed: int,
+    group: str = "attribution",
+    label: str = "y",
+    fold: str = "fold",
+    key: str = "id",
+    prefix: str = "artist_ord_",
+    weight: float = 1.0,
+    n_classes: int = fixed.N_CLASSES,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """P(class | group) from the rows of other folds that come earlier in a seeded permutation.
+
+    Counts are drawn to the class prior by `weight` rows, so every value of a
+    category carries what is known of it, however many values there are, and no
+    row sees its own label or one of its fold. Running counts per (group, bucket
+    of the permutation) start from the counts of the earlier buckets, so a
+    frequent value is spread over many tasks. A null group is a value of its own.
+    """
+    names = ["n", *[f"n_{k}" for k in range(n_classes)]]
+    digits = digest_digits(df.count(), rows_per_bucket)
+    hashed = df.withColumn("_digest", seeded_digest(key, seed))
+    hashed = hashed.withColumn("_bucket", digest_bucket("_digest", digits))
+    cells = hashed.groupBy(group, "_bucket", fold).agg(F.count(F.lit(1)).alias("n"), *class_counts(label, n_classes))
+
+    def earlier(rows: DataFrame, by: list[str], names_out: str) -> list[Column]:
+        before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{names_out}{c}") for c in names]
+
+    own = cells.select(F.col(group).alias("_group"), F.col("_bucket").alias("_own"), F.col(fold).alias("_fold"), *earlier(cells, [group, fold], "_f_"))
+    whole = cells.groupBy(group, "_bucket").agg(*[F.sum(c).alias(c) for c in names])
+    whole = whole.select(F.col(group).alias("_value"), F.col("_bucket").alias("_place"), *earlier(whole, [group], "_a_"))
+    offsets = own.join(whole, F.col("_group").eqNullSafe(F.col("_value")) & (F.col("_own") == F.col("_place")))
+    offsets = offsets.select("_group", "_own", "_fold", *[(F.col(f"_a_{c}") - F.col(f"_f_{c}")).alias(f"_o_{c}") for c in names])
+    hits = {"n": F.lit(1), **{f"n_{k}": F.coalesce((F.col(label) == k).cast("int"), F.lit(0)) for k in range(n_classes)}}
+    cell = Window.partitionBy(group, "_bucket")
+    ordered = lambda w: w.orderBy("_digest", key, label).rowsBetween(Window.unboundedPreceding, -1)
+    all_folds, own_fold = ordered(cell), ordered(Window.partitionBy(group, "_bucket", fold))
+    inside = [
+        (F.coalesce(F.sum(hits[c]).over(all_folds), F.lit(0)) - F.coalesce(F.sum(hits[c]).over(own_fold), F.lit(0))).alias(f"_i_{c}") for c in names
+    ]
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_own")) & F.col(fold).eqNullSafe(F.col("_fold"))
+    found = hashed.select("*", *inside).join(offsets, same)
+    known = {c: F.col(f"_o_{c}") + F.col(f"_i_{c}") for c in names}
+    prior = class_prior(df, label, n_classes).scalar()
+    drawn = F.array(*[(known[f"n_{k}"] + weight * prior[k]) / (known["n"] + weight) for k in range(n_classes)])
+    return found.select(*df.columns, *encoding_columns(drawn, prefix, n_classes))
+
+
+def smoothed_encoding(
+    train: DataFrame,
+    test: DataFrame,
+    group: str = "attribution",
+    label: str = "y",
+    key: str = "id",
+    prefix: str = "artist_ord_",
+    weight: float = 1.0,
+    n_classes: int = fixed.N_CLASSES,
+) -> DataFrame:
+    """What `ordered_encoding` gives for rows that come after all training rows."""
+    names = ["n", *[f"n_{k}" for k in range(n_classes)]]
+    value = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("null")).alias("_named")
+    counts = train.groupBy(value(group)).agg(F.count(F.lit(1)).alias("n"), *class_counts(label, n_classes))
+    found = spread_lookup(test.withColumn("_named", value(group)), counts.select("_named", F.struct(*names).alias("_counts")), ["_named"], key)
+    prior = class_prior(train, label, n_classes).scalar()
+    known = {c: F.coalesce(F.col("_counts")[c], F.lit(0)) for c in names}
+    drawn = F.array(*[(known[f"n_{k}"] + weight * prior[k]) / (known["n"] + weight) for k in range(n_classes)])
+    return found.select(*test.columns, *encoding_columns(drawn, prefix, n_classes))
+
+
 def group_shares(df: DataFrame, group: str = "attribution", label: str = "y", n_classes: int = fixed.N_CLASSES) -> DataFrame:
     """Row-normalised class counts per group; absent classes are 0."""
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *class_counts(label, n_classes))
@@ -149,11 +220,3 @@ def encode_categories(df: DataFrame, train: DataFrame, fields: Sequence[str], ke
         )
         out = spread_lookup(out, table, [f], key)
     return out.select(*df.columns, *[f"{f}_code" for f in fields])
-
-
-def frequent_codes(df: DataFrame, train: DataFrame, field: str, most: int, key: str = "id") -> DataFrame:
-    """Adds `<field>_code` for the `most` most frequent training values, 0 for the first; others are null."""
-    top = train.filter(F.col(field).isNotNull()).groupBy(field).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), field).limit(most)
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("_n"), field)  # at most `most` rows
-    table = top.select(field, (F.row_number().over(order) - 1).alias(f"{field}_code"))
-    return df.join(F.broadcast(table), field, "left").select(*df.columns, f"{field}_code")

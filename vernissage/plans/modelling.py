@@ -23,9 +23,8 @@ KEEP = ("id", "y", "split", "fold")
 SMALL_FOREST = {"trees": 8, "depth": 5}
 THREADS = 5
 SMALL_BOOST = {"rounds": 2, "depth": 2, "step": 0.3}
-MOST_ARTISTS = 64
 CODES = tuple(f"{f}_code" for f in fixed.CATEGORY_FIELDS)
-MAX_BINS = 80
+LEAST_BINS = 32
 TEXT_SCORES = 50
 
 
@@ -56,7 +55,6 @@ def evidence(spark, sf):
         wide = land(RecordFeatures.fit(train).apply(records), "record-features")
         seen = wide.filter("split = 'train'")
         coded = folds.encode_categories(wide, seen, fixed.CATEGORY_FIELDS)
-        coded = folds.frequent_codes(coded, seen, "attribution", MOST_ARTISTS)
         units = unit_vectors(spark, sf)
         sides = (
             knowledge.facts(spark, sf),
@@ -72,12 +70,13 @@ def evidence(spark, sf):
 
 
 def encodings(features, seed):
-    """(id, fold, artist_enc_*): out of fold for training rows, from all training rows for the others (fold -1)."""
+    """(id, fold, artist_enc_*, artist_ord_*): out of fold for training rows, from all training rows for the others (fold -1)."""
     train, test = features.filter("split = 'train'"), features.filter("split = 'test'")
     folded = land(folds.assign_folds(train.select("id", "y", "attribution"), seed), "folds")
+    others = folds.smoothed_encoding(folded, folds.full_encoding(folded, test.select("id", "attribution")))
     return joins.union_rows(
-        folds.out_of_fold_encoding(folded).drop("y", "attribution"),
-        folds.full_encoding(folded, test.select("id", "attribution")).drop("attribution").withColumn("fold", F.lit(-1)),
+        folds.ordered_encoding(folds.out_of_fold_encoding(folded), seed).drop("y", "attribution"),
+        others.drop("attribution").withColumn("fold", F.lit(-1)),
     )
 
 
@@ -105,8 +104,9 @@ def code_sizes(matrix, codes):
 def assembled(spark, sf, seed=42, kind="blend"):
     """(train, test, feature names) as vectors, written once, since every fold and model reads them.
 
-    `blend`: all evidence with encodings. `booster`: encodings replaced by the
-    attribution as a category. `linear`: caption flags and text scores, nulls as 0.
+    `blend`: all evidence with encodings. `booster`: encodings replaced by ordered
+    statistics, which stand for the attribution as a category of any number of
+    values. `linear`: caption flags and text scores, nulls as 0.
     """
     matrix = matrix_of(spark, sf, seed)
     names = numeric_names(matrix)
@@ -114,9 +114,9 @@ def assembled(spark, sf, seed=42, kind="blend"):
     if kind == "linear":
         names, codes = [c for c in names if c.startswith(("svd_", "cap_is_"))], []
     elif kind == "booster":
-        names, codes = [c for c in names if not c.startswith("artist_enc_")], [*CODES, "attribution_code"]
+        names = [c for c in names if not c.startswith("artist_enc_")]
     else:
-        names = [c for c in names if c != "attribution_code"]
+        names = [c for c in names if not c.startswith("artist_ord_")]
 
     def build():
         missing = 0.0 if kind == "linear" else fixed.MISSING_NUMBER
@@ -126,8 +126,13 @@ def assembled(spark, sf, seed=42, kind="blend"):
     return rows.filter("split = 'train'"), rows.filter("split = 'test'"), names
 
 
-def small_forest(seed=42, **more):
-    return models.forest(**{**SMALL_FOREST, **more}, seed=seed, max_bins=MAX_BINS)
+def bins(spark, sf):
+    """Bins that cover the category field with the most values."""
+    return max([LEAST_BINS, *code_sizes(matrix_of(spark, sf), CODES).values()])
+
+
+def small_forest(spark, sf, seed=42, **more):
+    return models.forest(**{**SMALL_FOREST, **more}, seed=seed, max_bins=bins(spark, sf))
 
 
 def scored(oof):
@@ -163,14 +168,14 @@ def training_matrix(spark, sf):
 @query("oof_trees", SCORED)
 def oof_trees(spark, sf):
     train, _, _ = assembled(spark, sf)
-    return scored(models.out_of_fold(train, models.BoostedOneVsRest(**SMALL_BOOST, max_bins=MAX_BINS), parallelism=THREADS)[0])
+    return scored(models.out_of_fold(train, models.BoostedOneVsRest(**SMALL_BOOST, max_bins=bins(spark, sf)), parallelism=THREADS)[0])
 
 
 @query("oof_trees_alt", SCORED)
 def oof_trees_alt(spark, sf):
-    """The second tree model: the attribution as a category instead of its encoding."""
+    """The second tree model: the attribution as a category by ordered statistics instead of its encoding."""
     train, _, _ = assembled(spark, sf, kind="booster")
-    return scored(models.out_of_fold(train, small_forest(), parallelism=THREADS)[0])
+    return scored(models.out_of_fold(train, small_forest(spark, sf), parallelism=THREADS)[0])
 
 
 @query("oof_logreg", SCORED)
@@ -182,8 +187,8 @@ def oof_logreg(spark, sf):
 def stacked(spark, sf):
     """Blocks of three base models next to the meta features, for training rows (out of fold) and test rows (averaged)."""
     fits = {
-        "boosted": (models.BoostedOneVsRest(rounds=1, depth=2, step=0.3, max_bins=MAX_BINS), "blend"),
-        "forest": (small_forest(), "booster"),
+        "boosted": (models.BoostedOneVsRest(rounds=1, depth=2, step=0.3, max_bins=bins(spark, sf)), "blend"),
+        "forest": (small_forest(spark, sf), "booster"),
         "linear": (models.elastic_net(iterations=30), "linear"),
     }
     blocks = {}
@@ -241,10 +246,10 @@ def stack_test(spark, sf):
 @query("refit_full", TESTED)
 def refit_full(spark, sf):
     train, test, _ = assembled(spark, sf)
-    fit = models.BoostedOneVsRest(**SMALL_BOOST, max_bins=MAX_BINS)
+    fit = models.BoostedOneVsRest(**SMALL_BOOST, max_bins=bins(spark, sf))
     models.out_of_fold(train, fit, parallelism=THREADS)
     settings = {**SMALL_BOOST, "rounds": models.refit_rounds(fit.rounds_used)}
-    longer = models.BoostedOneVsRest(**settings, max_bins=MAX_BINS)
+    longer = models.BoostedOneVsRest(**settings, max_bins=bins(spark, sf))
     return longer(train)(test).select("id", *models.sound())
 
 
@@ -255,7 +260,7 @@ def seed_predictions(spark, sf, seeds=fixed.BLEND_SEEDS):
         parts = []
         for seed in seeds:
             train, test, _ = assembled(spark, sf, seed)
-            oof, averaged = models.out_of_fold(train, small_forest(seed, trees=5), test, parallelism=THREADS)
+            oof, averaged = models.out_of_fold(train, small_forest(spark, sf, seed, trees=5), test, parallelism=THREADS)
             parts += [
                 oof.select("id", "y", F.lit(seed).alias("seed"), "probs"),
                 averaged.select("id", F.lit(None).cast("int").alias("y"), F.lit(seed).alias("seed"), "probs"),
@@ -307,7 +312,7 @@ def blend_compare(spark, sf):
     by_seed = {}
     for seed in fixed.WIDE_BLEND_SEEDS:
         train, _, _ = assembled(spark, sf, seed)
-        oof = models.out_of_fold(train, small_forest(seed, trees=3, depth=4), parallelism=THREADS)[0]
+        oof = models.out_of_fold(train, small_forest(spark, sf, seed, trees=3, depth=4), parallelism=THREADS)[0]
         by_seed[seed] = land(oof.select("id", "y", "probs"), "oof")
     found = models.compare_blends(by_seed, {"three": fixed.BLEND_SEEDS, "five": fixed.WIDE_BLEND_SEEDS})
     return found.select("blend", "n_seeds", (F.col("accuracy").between(0, 1)).alias("in_range"))
@@ -336,7 +341,7 @@ def model_overrides(spark, sf):
 def feature_importance(spark, sf):
     """Fifteen most important features for one class and what shuffling each one costs."""
     train, _, names = assembled(spark, sf)
-    found = models.importance_for_class(train, names, target=7, top=15, trees=12, depth=6, max_bins=MAX_BINS)
+    found = models.importance_for_class(train, names, target=7, top=15, trees=12, depth=6, max_bins=bins(spark, sf))
     return found.agg(
         F.count_distinct("feature").alias("n_features"), F.bool_and(F.col("feature").isin(names)).alias("named"),
         F.bool_and(F.col("importance").between(0, 1)).alias("shares"),
