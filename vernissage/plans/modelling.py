@@ -245,11 +245,13 @@ def stack_test(spark, sf):
 
 @query("refit_full", TESTED)
 def refit_full(spark, sf):
+    """All training rows, as many rounds as the folds' best ones say; nothing is held back."""
     train, test, _ = assembled(spark, sf)
-    fit = models.BoostedOneVsRest(**SMALL_BOOST, max_bins=bins(spark, sf))
+    most = bins(spark, sf)
+    fit = models.BoostedOneVsRest(**{**SMALL_BOOST, "rounds": 4}, max_bins=most, patience=2)
     models.out_of_fold(train, fit, parallelism=THREADS)
     settings = {**SMALL_BOOST, "rounds": models.refit_rounds(fit.rounds_used)}
-    longer = models.BoostedOneVsRest(**settings, max_bins=bins(spark, sf))
+    longer = models.BoostedOneVsRest(**settings, max_bins=most, stop_early=False)
     return longer(train)(test).select("id", *models.sound())
 
 
