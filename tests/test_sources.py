@@ -119,6 +119,13 @@ def test_predictions_roundtrip(spark, tmp_path):
     assert records.read_predictions(spark, str(tmp_path / "p")).collect() == df.collect()
 
 
+def test_side_table_has_nulls_for_nan(spark, tmp_path):
+    side = spark.createDataFrame([(1, 0.5, "a"), (2, float("nan"), None)], "id long, mean double, name string")
+    records.write_table(side, str(tmp_path / "side"))
+    got = {r.id: (r["mean"], r.name) for r in records.read_side_table(spark, str(tmp_path / "side")).collect()}
+    assert got == {1: (0.5, "a"), 2: (None, None)}
+
+
 def test_decode_answers(spark):
     answer = (
         '{"results":{"bindings":[{"item":{"value":"http://x/entity/Q1"},"matLabel":{"value":"ink"}},'

@@ -218,8 +218,11 @@ def _image_side(spark, sf):
     ),
 )
 def attach_external(spark, sf):
+    """A side table from files, attached by its unique id."""
     base = views.artworks(spark, sf).select("id", "split")
-    return joins.attach_evidence(base, _image_side(spark, sf))
+    path = fresh_path(spark, "image-side")
+    records.write_table(_image_side(spark, sf), path)
+    return joins.attach_evidence(base, records.read_side_table(spark, path))
 
 
 @query(
