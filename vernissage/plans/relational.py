@@ -12,7 +12,7 @@ from vernissage.plans.registry import query
 from vernissage.plans.views import with_views
 from vernissage.session import fresh_path
 from vernissage.sources import bindings as answers
-from vernissage.sources import fetch, records
+from vernissage.sources import fetch, files, records
 from vernissage.sources import images as image_source
 
 SCANNED = ("id", "y", "cap", "y0", "dim", "acc_id", "note", "t", "split")
@@ -67,6 +67,15 @@ def preds_roundtrip(spark, sf):
     return long.withColumn("p", F.round("p", 6))
 
 
+@query("preds_archive", with_views("select id, cast(k as int) as k, round(p, 6) as p from blend", "blend"))
+def preds_archive(spark, sf):
+    """The blended predictions through archives of numpy arrays."""
+    path = fresh_path(spark, "archive")
+    files.write_archive(blend.average_probabilities(views.predictions(spark, sf)), path)
+    long = files.read_archive(spark, path).select("id", F.posexplode("probs").alias("k", "p"))
+    return long.withColumn("p", F.round("p", 6))
+
+
 _MEANS = tuple(f"img_{c}_mean" for c in "rgb")
 
 
@@ -80,9 +89,12 @@ _MEANS = tuple(f"img_{c}_mean" for c in "rgb")
     ),
 )
 def image_scan_nulls(spark, sf):
-    scanned = views.images(spark, sf, broken=True)
-    found = images.image_features(scanned, side=None).select("id", *_MEANS)
-    return image_source.with_image_features(scanned, found)
+    """Image files, some of them broken, are written and scanned again."""
+    made, path = views.images(spark, sf, broken=True), fresh_path(spark, "images")
+    image_source.write_images(made, path)
+    scanned = image_source.read_written_images(spark, path)
+    found = images.image_features(scanned, side=None).select(F.col("id").cast("long").alias("id"), *_MEANS)
+    return image_source.with_image_features(made, found)
 
 
 @query(
