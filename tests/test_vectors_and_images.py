@@ -245,3 +245,28 @@ def test_image_source_keeps_unreadable(spark, tmp_path):
     got = {r.id: r.img_brightness for r in image_source.with_image_features(ids, images.image_features(scanned, side=None)).collect()}
     assert got["7"] == pytest.approx(a.max(axis=2).mean() / 255) and got["8"] is None and got["9"] is None
     assert fixed.IMAGE_SIDE == 64
+
+
+def test_kernel_resize_by_hand(spark):
+    """Weights are worked out by hand; a triangle over twice the distance when an axis halves."""
+    halved = images.kernel_weights(4, 2, "triangle")
+    assert halved == pytest.approx(np.array([[3, 3, 1, 0], [0, 1, 3, 3]]) / 7)
+    assert images.kernel_weights(5, 5, "cubic") == pytest.approx(np.eye(5))
+    doubled = images.kernel_weights(2, 4, "triangle")
+    assert doubled == pytest.approx(np.array([[1, 0], [0.75, 0.25], [0.25, 0.75], [0, 1]]))
+    # Cubic at distances 1/4, 3/4 and 5/4: 111/128, 29/128 and -9/128.
+    assert images.kernel_weights(4, 2, "cubic")[0] == pytest.approx(np.array([111, 111, 29, -9]) / 242)
+    row = np.repeat(np.array([[0, 70, 140, 210]]), 3, axis=0)[:, :, None].repeat(3, axis=2)
+    assert images.kernel_resize(row, 2, 3, "triangle")[0, :, 0].tolist() == [50, 160]
+    edge = np.repeat(np.array([[0, 0, 255, 255]]), 4, axis=0)[:, :, None].repeat(3, axis=2)
+    assert images.kernel_resize(edge, 8, 4, "cubic").min() == 0 and images.kernel_resize(edge, 8, 4, "cubic").max() == 255
+    flat = np.full((9, 7, 3), 200)
+    assert (images.kernel_resize(flat, 4, 4) == 200).all() and (images.kernel_resize(flat, 20, 30) == 200).all()
+    rng = np.random.default_rng(8)
+    noisy = rng.integers(0, 256, (64, 64, 3))
+    assert images.kernel_resize(noisy, 8, 8).std() < noisy[::8, ::8].std() / 3  # shrinking averages, it does not pick pixels
+    frame = image_rows(spark, {1: noisy})
+    assert np.array_equal(np.array(images.resized(frame, 8, method="cubic").first().levels).reshape(8, 8, 3), images.kernel_resize(noisy, 8, 8))
+    assert np.array_equal(np.array(images.resized(frame, 8).first().levels).reshape(8, 8, 3), images.block_average(noisy, 8, 8))
+    tensor = images.model_inputs(frame, 16, 8, method="triangle").first().tensor
+    assert tensor == pytest.approx(images.standardised(images.center(images.kernel_resize(noisy, 16, 16, "triangle"), 8)).ravel().tolist())

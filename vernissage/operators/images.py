@@ -9,6 +9,7 @@ or unreadable image gives a row of nulls.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,11 +96,47 @@ def block_average(levels: np.ndarray, width: int, height: int) -> np.ndarray:
     return (2 * sums + n) // (2 * n)
 
 
-def shorter_side(levels: np.ndarray, side: int) -> np.ndarray:
+def _triangle(t: np.ndarray) -> np.ndarray:
+    return np.maximum(1 - t, 0.0)
+
+
+def _cubic(t: np.ndarray) -> np.ndarray:
+    """Cubic convolution with slope -1/2 at distance 1."""
+    near, far = ((1.5 * t - 2.5) * t) * t + 1, ((-0.5 * t + 2.5) * t - 4) * t + 2
+    return np.where(t < 1, near, np.where(t < 2, far, 0.0))
+
+
+KERNELS = {"triangle": _triangle, "cubic": _cubic}
+
+
+@lru_cache(maxsize=256)
+def kernel_weights(size: int, target: int, kernel: str) -> np.ndarray:
+    """(target, size) weights with rows of sum 1; the kernel is as many times wider as the axis shrinks."""
+    scale = size / target
+    centers = (np.arange(target) + 0.5) * scale
+    distance = np.abs(np.arange(size) + 0.5 - centers[:, None]) / max(scale, 1.0)
+    weights = KERNELS[kernel](distance)
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def kernel_resize(levels: np.ndarray, width: int, height: int, kernel: str = "cubic") -> np.ndarray:
+    """Antialiased resampling along one axis after the other, rounded half up to levels 0..255."""
+    down, across = (kernel_weights(n, target, kernel) for n, target in zip(levels.shape[:2], (height, width), strict=True))
+    narrow = np.tensordot(across, levels, (1, 1))
+    sums = np.tensordot(down, narrow, (1, 1))
+    return np.clip(np.floor(np.round(sums, 6) + 0.5), 0, LEVELS - 1).astype(np.int64)
+
+
+def resize(levels: np.ndarray, width: int, height: int, method: str = "block") -> np.ndarray:
+    """Block average, or one of KERNELS."""
+    return block_average(levels, width, height) if method == "block" else kernel_resize(levels, width, height, method)
+
+
+def shorter_side(levels: np.ndarray, side: int, method: str = "block") -> np.ndarray:
     """Keeps the aspect ratio; the longer side is cut to whole cells."""
     height, width = levels.shape[:2]
     short = min(height, width)
-    return block_average(levels, width * side // short, height * side // short)
+    return resize(levels, width * side // short, height * side // short, method)
 
 
 def center(levels: np.ndarray, side: int) -> np.ndarray:
@@ -136,31 +173,31 @@ def _per_image(images: DataFrame, work: Callable[[np.ndarray], list], form: str,
     return rows.mapInArrow(run, f"key {kind}, {form}").withColumnRenamed("key", key)
 
 
-def image_features(images: DataFrame, key: str = "id", side: int | None = fixed.IMAGE_SIDE) -> DataFrame:
+def image_features(images: DataFrame, key: str = "id", side: int | None = fixed.IMAGE_SIDE, method: str = "block") -> DataFrame:
     """All 43 statistics per image row, after resizing to side x side (not at all with None)."""
     def work(levels: np.ndarray) -> list:
-        return statistics(levels if side is None else block_average(levels, side, side))
+        return statistics(levels if side is None else resize(levels, side, side, method))
 
     return _per_image(images, work, ", ".join(f"{n} double" for n in FEATURE_NAMES), key)
 
 
-def resized(images: DataFrame, side: int, key: str = "id", keep_aspect: bool = False, crop: int | None = None) -> DataFrame:
+def resized(images: DataFrame, side: int, key: str = "id", keep_aspect: bool = False, crop: int | None = None, method: str = "block") -> DataFrame:
     """(key, w, h, levels): R, G, B of the cells in row order, after resizing and an optional centre crop."""
     def work(levels: np.ndarray) -> list:
-        small = shorter_side(levels, side) if keep_aspect else block_average(levels, side, side)
+        small = shorter_side(levels, side, method) if keep_aspect else resize(levels, side, side, method)
         small = small if crop is None else center(small, crop)
         return [small.shape[1], small.shape[0], small.ravel()]
 
     return _per_image(images, work, "w int, h int, levels array<int>", key)
 
 
-def model_inputs(images: DataFrame, side: int, crop: int, key: str = "id") -> DataFrame:
+def model_inputs(images: DataFrame, side: int, crop: int, key: str = "id", method: str = "block") -> DataFrame:
     """(key, tensor): resized by the shorter side, cropped and standardised; crop x crop x 3 numbers.
 
     An image that the crop does not fill counts as unreadable.
     """
     def work(levels: np.ndarray) -> list:
-        small = center(shorter_side(levels, side), crop)
+        small = center(shorter_side(levels, side, method), crop)
         return [standardised(small).ravel() if small.shape[:2] == (crop, crop) else None]
 
     return _per_image(images, work, "tensor array<double>", key)

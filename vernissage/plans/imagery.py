@@ -137,6 +137,35 @@ def img_resize(spark, sf):
     return images.cells(images.resized(views.images(spark, sf), 4))
 
 
+def _cubic_sql(cell: str, pixel: str, shrink: float) -> str:
+    """Unscaled cubic weight of a pixel for a cell of an axis that shrinks `shrink` times."""
+    t = f"(abs({pixel} + 0.5 - ({cell} + 0.5) * {shrink}::double) / {shrink}::double)"
+    return (
+        f"case when {t} < 1 then 1.5 * {t} * {t} * {t} - 2.5 * {t} * {t} + 1 "
+        f"when {t} < 2 then -0.5 * {t} * {t} * {t} + 2.5 * {t} * {t} - 4 * {t} + 2 else 0.0 end"
+    )
+
+
+def _kernel_sql(side: int) -> str:
+    def axis(cell: str, pixel: str, weight: str) -> str:
+        return (
+            f"(select {cell}, {pixel}, {_cubic_sql(cell, pixel, 8 / side)} as {weight} "
+            f"from (select unnest(range({side})) as {cell}) cross join (select unnest(range(8)) as {pixel}))"
+        )
+
+    level = "cast(least(255, greatest(0, floor(round(sum(wx * wy * {c}) / sum(wx * wy), 6) + 0.5))) as int) as {c}"
+    return (
+        f"select id, cast(x as int) as px, cast(y as int) as py, {', '.join(level.format(c=c) for c in 'rgb')} "
+        f"from pixels join {axis('x', 'xp', 'wx')} on px = xp join {axis('y', 'yp', 'wy')} on py = yp group by id, x, y"
+    )
+
+
+@query("img_resize_kernel", with_views(_kernel_sql(3), "pixels"))
+def img_resize_kernel(spark, sf):
+    """Antialiased cubic resampling inside the image row."""
+    return images.cells(images.resized(views.images(spark, sf), 3, method="cubic"))
+
+
 @query(
     "img_enlarge",
     with_views(
