@@ -207,3 +207,20 @@ def test_rule_mining(spark):
     got = {r.attribution: r for r in audit.attribution_rules(df, min_support=2).collect()}
     assert (got["x"].support, got["x"].rule_class, got["x"].purity) == (25, 7, 22 / 25)
     assert got["z"].rule_class == 2
+
+
+def test_quantiles_of_any_column(spark):
+    """One group holds most rows and many distinct values; others are tiny, null or empty."""
+    points, names = (0.0, 0.1, 0.25, 0.5, 0.999, 1.0), ("a", "b", "c", "d", "e", "f")
+    df = spark.range(200_000).selectExpr(
+        "case when id % 50 > 3 then 'hot' when id % 50 = 1 then null when id = 2 then 'one' when id % 50 = 2 then 'none' else 'few' end as g",
+        "case when id % 50 = 2 and id > 2 then null when id % 50 = 3 then double(id % 4) when id % 5 = 0 then 7.5D "
+        "else (xxhash64(id) % 1000003) / 8.0 * pow(10, id % 30 - 15) end as v",
+    ).cache()
+    got = {r.g: tuple(r)[1:] for r in profile.quantiles_by_group(df, "g", "v", points, names, rows_per_bucket=5_000).collect()}
+    at = F.percentile("v", F.array(*[F.lit(p) for p in points]))
+    want = {r.g: tuple(r.q) for r in df.filter("v is not null").groupBy("g").agg(at.alias("q")).collect()}
+    assert set(got) == {"hot", "few", "one", None} and got == want
+    assert profile.quantiles_by_group(df.limit(0), "g", "v", points, names).count() == 0
+    whole = profile.quantiles_by_group(df.selectExpr("g", "bigint(v) as v").filter("g = 'few'"), "g", "v", (0.5,), ("m",)).first()
+    assert whole.m == df.filter("g = 'few'").selectExpr("percentile(bigint(v), 0.5)").first()[0]

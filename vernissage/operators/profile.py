@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vernissage.operators.ranking import ROWS_PER_BUCKET, range_buckets
+
 
 def top_k(df: DataFrame, order: str, k: int, tie: str = "id") -> DataFrame:
     return df.orderBy(F.desc(order), tie).limit(k)
@@ -57,19 +59,44 @@ def share(predicate: Column) -> Column:
     return F.count_if(predicate) / F.count(F.lit(1))
 
 
-def quantiles_by_group(df: DataFrame, group: str, value: str, points: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Exact interpolated quantiles per group.
+def quantiles_by_group(
+    df: DataFrame, group: str, value: str, points: Sequence[float], names: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """Exact interpolated quantiles per group; any column, any number of distinct values, any size of a group.
 
-    Equal values are counted before the group comes together, so the state of a
-    group is its number of distinct values (calendar years), not of rows.
+    Equal values are counted first. The counted values are dealt into ranges, whose
+    totals say which of them hold a wanted rank; only in these, at most two per group
+    and point, are values put in order. No group comes together in one task.
     """
     counted = (
-        df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+        df.filter(F.col(value).isNotNull())
+        .groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    ranged = range_buckets(counted, "_v", rows_per_bucket)
+    whole = Window.partitionBy("_g")
+    sizes = ranged.groupBy("_g", "_bucket").agg(F.sum("_n").alias("_in"))
+    placed = sizes.select(
+        F.col("_g").alias("_h"), F.col("_bucket").alias("_b"), "_in",
+        F.sum("_in").over(whole).alias("_total"),
+        (F.sum("_in").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")).alias("_before"),
     )
-    at = F.percentile(value, F.array(*[F.lit(float(p)) for p in points]), F.col("_n"))
-    return counted.groupBy(group).agg(at.alias("_q")).select(
-        group, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]
+    at = [F.lit(float(p)) * (F.col("_total") - 1) for p in points]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(h), F.ceil(h)) for h in at])))
+    wanted = placed.select("*", F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in"))).alias("_ranks")).filter("size(_ranks) > 0")
+    inside = Window.partitionBy("_h", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = ranged.join(wanted, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_bucket") == F.col("_b"))).withColumn(
+        "_to", F.col("_before") + F.sum("_n").over(inside)
     )
+    hit = F.filter("_ranks", lambda r: (r >= F.col("_to") - F.col("_n")) & (r < F.col("_to")))
+    found = ordered.select("_h", "_total", "_v", F.explode(hit).alias("_rank"))
+    known = found.groupBy("_h", "_total").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+
+    def interpolated(h: Column) -> Column:
+        low, high = F.col("_at")[F.floor(h)], F.col("_at")[F.ceil(h)]
+        return F.when(low == high, low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high)
+
+    return known.select(F.col("_h").alias(group), *[interpolated(h).alias(n) for h, n in zip(at, names, strict=True)])
 
 
 def shape(df: DataFrame) -> DataFrame:
