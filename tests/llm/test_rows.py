@@ -108,6 +108,18 @@ def test_personal_data_of_further_kinds(spark, no_docs):
     assert pii.report(no_docs).count() == 0
 
 
+def test_account_numbers_end_before_the_words_after_them(spark):
+    """The longest part up to a space that passes the checksum counts, whatever the pattern takes with it."""
+    texts = {
+        1: "pay BE68 5390 0754 7034 BIC GKCCBEBB", 2: "BE68 5390 0754 7034 GKCC BEBB XX", 3: "BE68539007547034 BIC", 4: "GB82 WEST 1234 5698 7654 32 EUR",
+        5: "BE68 5390 0754 7035 BIC", 6: "BE68 5390 0754 7034BIC", 7: "é BE68 5390 0754 7034 and GB82 WEST 1234 5698 7654 32", 8: "BE68 5390", 9: None,
+    }
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {
+        1: "iban:4:23", 2: "iban:0:19", 3: "iban:0:16", 4: "iban:0:27", 5: "", 6: "", 7: "iban:2:21,iban:26:53", 8: "", 9: "",
+    }
+
+
 def test_personal_data_runs_without_python(docs):
     plan = pii.report(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

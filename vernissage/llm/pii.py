@@ -30,7 +30,8 @@ class Kind:
 
     `hint` is a cheap test a text must pass to be scanned, `valid` an SQL
     condition on the match `m`; a match stays when it is valid and, unless the
-    kind is a base kind, its score reaches `keep`.
+    kind is a base kind, its score reaches `keep`. With `cut` the longest valid part
+    up to a space stands for the match, as the pattern may take words after it.
     """
 
     name: str
@@ -41,6 +42,7 @@ class Kind:
     context: str
     base: bool = True
     keep: float = 0.0
+    cut: bool = False
 
 
 _COMPACT = "replace(m, ' ', '')"
@@ -73,7 +75,7 @@ KINDS = (
     Kind("ip", IP, "contains(t, '.') and t rlike '[0-9][.][0-9]'", rf"m rlike '^{_BYTE}(?:[.]{_BYTE}){{3}}$'", 0.6, "ip|host|server|address|login"),
     Kind("card", DIGITS, "t rlike '[0-9]'", _card(16, 19), 0.8, "card|visa|master|credit|debit|pay"),
     Kind("phone", PHONE, "contains(t, '+')", f"length({_digits('m')}) between 8 and 15", 0.6, "phone|tel|call|mobile|fax"),
-    Kind("iban", IBAN, "t rlike '[A-Z][A-Z][0-9][0-9]'", f"length({_COMPACT}) between 15 and 34 and {mod97(_COMPACT)}", 0.9, "iban|bank|account|transfer", base=False, keep=0.5),
+    Kind("iban", IBAN, "t rlike '[A-Z][A-Z][0-9][0-9]'", f"length({_COMPACT}) between 15 and 34 and {mod97(_COMPACT)}", 0.9, "iban|bank|account|transfer", base=False, keep=0.5, cut=True),
     Kind("shortcard", DIGITS, "t rlike '[0-9]'", _card(13, 15), 0.4, "card|amex|diners|credit|debit", base=False, keep=0.5),
 )
 REACH = 40
@@ -101,12 +103,22 @@ def _placed(k: int) -> Column:
     )
 
 
+def _valid(k: int, kind: Kind) -> str:
+    """SQL: the matches that are valid, cut where the kind says so."""
+    if not kind.cut:
+        return f"filter(x{k}, x -> transform(array(x.m), m -> {kind.valid})[0])"
+    words = "split(x.m, ' ')"
+    parts = f"filter(transform(sequence(1, size({words})), i -> array_join(slice({words}, 1, i), ' ')), m -> {kind.valid})"
+    longest = f"transform(array({parts}), c -> get(c, size(c) - 1))[0]"
+    cut = f"transform(x{k}, x -> transform(array({longest}), m -> named_struct('m', m, 's', x.s, 'e', x.s + length(m)))[0])"
+    return f"filter({cut}, x -> x.m is not null)"
+
+
 def _scored(k: int, kind: Kind) -> Column:
     around = f"lower(substring(t, greatest(x.s - {REACH}, 0) + 1, x.e - greatest(x.s - {REACH}, 0) + {REACH}))"
     near = f"{around} rlike '{kind.context}'"
     score = f"least(1.0D, {kind.score}D + if({near}, {BONUS}D, 0.0D))"
-    valid = f"filter(x{k}, x -> transform(array(x.m), m -> {kind.valid})[0])"
-    scored = f"transform({valid}, x -> named_struct('s', x.s, 'e', x.e, 'score', {score}))"
+    scored = f"transform({_valid(k, kind)}, x -> named_struct('s', x.s, 'e', x.e, 'score', {score}))"
     return F.expr(scored if kind.base else f"filter({scored}, x -> x.score >= {kind.keep}D)")
 
 
