@@ -91,11 +91,11 @@ def test_svd_takes_a_missing_vector_as_zeros(spark):
     assert a.scores(gap).orderBy("id").collect() == b.scores(zeros).orderBy("id").collect()
 
 
-@pytest.mark.parametrize(("iterations", "oversample"), [(12, 0), (5, 8)])
-def test_svd_matches_numpy(spark, iterations, oversample):
+@pytest.mark.parametrize("oversample", [0, 8])
+def test_svd_matches_numpy(spark, oversample):
     x = np.random.default_rng(3).normal(size=(60, 12)) * np.linspace(5, 0.5, 12)
     rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
-    fitted = vectors.TruncatedSvd.fit(rows, 12, 4, iterations=iterations, oversample=oversample)
+    fitted = vectors.TruncatedSvd.fit(rows, 12, 4, oversample=oversample)
     u, s, _ = np.linalg.svd(x, full_matrices=False)
     assert fitted.singular_values == pytest.approx(s[:4], rel=1e-4)
     scores = np.array([list(r)[1:] for r in fitted.scores(rows).orderBy("id").collect()])
@@ -103,10 +103,43 @@ def test_svd_matches_numpy(spark, iterations, oversample):
     assert scores.T @ scores == pytest.approx(np.diag(s[:4] ** 2), rel=1e-3, abs=1e-3)
     assert fitted.explained_ratio == pytest.approx(scores.var(axis=0).sum() / x.var(axis=0).sum())
     sparse = rows.select("id", F.expr("transform(sequence(0, 11), i -> i)").alias("idx"), F.col("vec").alias("val"))
-    same = vectors.TruncatedSvd.fit(sparse, 12, 4, iterations=iterations, oversample=oversample)
+    same = vectors.TruncatedSvd.fit(sparse, 12, 4, oversample=oversample)
     assert same.singular_values == pytest.approx(fitted.singular_values)
 
 
+def test_svd_stops_by_its_residual(spark):
+    """A slowly falling spectrum: fixed few passes miss it, the residual says by how much."""
+    rng = np.random.default_rng(7)
+    left, right = (np.linalg.qr(rng.normal(size=(n, 90)))[0] for n in (300, 90))
+    s = 0.985 ** np.arange(90)
+    x = left * s @ right.T
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    short = vectors.TruncatedSvd.fit(rows, 90, 4, oversample=2, most_passes=2)
+    assert short.passes == 2 and short.residual > 0.01
+    fitted = vectors.TruncatedSvd.fit(rows, 90, 4, oversample=2, tolerance=1e-6, most_passes=200)
+    assert 2 < fitted.passes < 100 and fitted.residual <= 1e-6
+    assert fitted.singular_values == pytest.approx(s[:4], rel=1e-6)
+    assert np.abs(fitted.components.T @ right[:, :4]) == pytest.approx(np.eye(4), abs=1e-3)
+    gram = x.T @ x
+    for f in (short, fitted):  # the bound holds: an eigenvalue lies within the residual of each value found
+        misses = np.linalg.norm(gram @ f.components - f.components * f.singular_values**2, axis=0)
+        assert misses.max() / f.singular_values[0] ** 2 == pytest.approx(f.residual, rel=1e-3, abs=1e-9)
+        nearest = np.abs(f.singular_values[:, None] ** 2 - s**2).min(axis=1)
+        assert (nearest <= misses + 1e-9).all()
+
+
+def test_svd_of_few_directions(spark):
+    """Fewer directions than asked for, and none at all."""
+    x = np.zeros((30, 80))
+    x[:, 3], x[:, 7] = 2.0, np.arange(30)
+    for data, rank in ((x, 2), (np.zeros((5, 80)), 0)):
+        rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(data)], "id long, vec array<double>")
+        fitted = vectors.TruncatedSvd.fit(rows, 80, 5, oversample=5)
+        want = np.linalg.svd(data, compute_uv=False)[:5]
+        assert fitted.singular_values == pytest.approx(want, abs=1e-4) and (fitted.singular_values > 1e-3).sum() == rank
+        assert fitted.components.T @ fitted.components == pytest.approx(np.eye(5), abs=1e-9)
+
+
 def test_l2_and_zero_vectors(spark):
     ids = spark.range(3)
     known = spark.createDataFrame([(0, [3.0, 4.0])], "id long, vec array<double>")

@@ -40,48 +40,66 @@ def l2_normalised(vec: str | Column = "vec") -> Column:
 
 
 NARROW = 4
+HELD_BLOCKS = 6
 
 
 @dataclass(frozen=True)
 class TruncatedSvd:
     """Right singular vectors of a row matrix without centring.
 
-    Fitting is subspace iteration: each pass multiplies the Gram matrix of the
-    rows with a thin basis inside the tasks. Between passes only n_features x
-    (k + oversample) numbers reach the driver, whatever the number of rows.
+    Each pass multiplies the Gram matrix of the rows with a thin block inside the
+    tasks; only n_features x (k + oversample) numbers come back from it, whatever the
+    number of rows. The driver keeps at most HELD_BLOCKS such blocks, finds the best
+    directions in their span and sends what these miss as the next block. `residual` is
+    the longest such miss of the k directions, as a share of the largest eigenvalue:
+    each squared singular value is that close to one of the rows' own. Passes end when
+    it is at most `tolerance`, or after `most_passes`.
     """
 
     components: np.ndarray  # n_features x k
     singular_values: np.ndarray
     explained_ratio: float
+    residual: float
+    passes: int
 
     @classmethod
-    def fit(cls, rows: DataFrame, n_features: int, k: int, seed: int = 42, iterations: int = 5, oversample: int = 10) -> TruncatedSvd:
+    def fit(
+        cls, rows: DataFrame, n_features: int, k: int, seed: int = 42, tolerance: float = 0.001, most_passes: int = 12, oversample: int = 10,
+    ) -> TruncatedSvd:
         """`rows` holds either `vec` (dense array) or `idx` and `val` (sparse arrays)."""
+        k = min(k, n_features)
         width = min(k + oversample, n_features)
         columns = ["vec"] if "vec" in rows.columns else ["idx", "val"]
         data = rows.select(*columns).persist()
         try:
             if n_features <= NARROW * width:  # the whole Gram matrix in one pass
-                basis, iterations = np.eye(n_features), 0
+                block = np.eye(n_features)
             else:
-                start = np.random.default_rng(seed).normal(size=(n_features, width))
-                basis = np.linalg.qr(start)[0]
-            for _ in range(iterations):
-                product, _, _, _ = _gram_times(data, basis)
-                basis = np.linalg.qr(product)[0]
-            product, sums, squares, n = _gram_times(data, basis)
+                block = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_features, width)))[0]
+            basis = image = np.zeros((n_features, 0))
+            passes = 0
+            while True:
+                product, sums, squares, n = _gram_times(data, block)
+                passes += 1
+                basis, image = np.hstack([basis, block]), np.hstack([image, product])
+                values, inner = np.linalg.eigh(_symmetric(basis.T @ image))
+                values, inner = values[::-1], inner[:, ::-1]
+                missed = image @ inner[:, :width] - basis @ inner[:, :width] * values[:width]
+                residual = _share(np.linalg.norm(missed[:, :k], axis=0).max(), values[0])
+                block = _beside(basis, missed, values[0])
+                if residual <= tolerance or passes >= most_passes or not block.shape[1]:
+                    break
+                if basis.shape[1] + block.shape[1] > HELD_BLOCKS * width:
+                    basis, image = basis @ inner[:, : 2 * width], image @ inner[:, : 2 * width]
         finally:
             data.unpersist()
-        values, inner = np.linalg.eigh(basis.T @ product)
-        best = np.argsort(values)[::-1][:k]
-        components = basis @ inner[:, best]
+        values, components = values[:k], basis @ inner[:, :k]
         peak = components[np.abs(components).argmax(axis=0), np.arange(components.shape[1])]
         components = components * np.where(peak < 0, -1.0, 1.0)
-        energy = np.maximum(values[best], 0.0)
+        energy = np.maximum(values, 0.0)
         score_variance = energy / n - (sums / n @ components) ** 2
         input_variance = squares / n - (sums / n) ** 2
-        return cls(components, np.sqrt(energy), float(score_variance.sum() / input_variance.sum()))
+        return cls(components, np.sqrt(energy), _share(score_variance.sum(), input_variance.sum()), residual, passes)
 
     def scores(self, rows: DataFrame, key: str = "id", prefix: str = "svd_") -> DataFrame:
         """Row scores X V as columns <prefix>0, <prefix>1, ..."""
@@ -98,6 +116,25 @@ class TruncatedSvd:
         return scored.select(key, *[F.col("_s")[i].alias(f"{prefix}{i}") for i in range(components.shape[1])])
 
 
+def _symmetric(a: np.ndarray) -> np.ndarray:
+    return (a + a.T) / 2
+
+
+def _share(part: float, whole: float) -> float:
+    return float(part / whole) if whole > 0 else 0.0
+
+
+def _beside(basis: np.ndarray, block: np.ndarray, scale: float) -> np.ndarray:
+    """Orthonormal directions of `block` outside the basis; none where it adds no more than rounding."""
+    lengths = np.linalg.norm(block, axis=0)
+    block = block[:, lengths > 1e-12 * scale] / lengths[lengths > 1e-12 * scale]
+    for _ in range(2):
+        block = block - basis @ (basis.T @ block)
+        left, strength, _ = np.linalg.svd(block, full_matrices=False)
+        block = left[:, strength > 1e-8]
+    return block
+
+
 def _dense(batch: tuple[pd.Series, ...], n_features: int) -> np.ndarray:
     """Rows as one block; a null vector is a row of zeros, as where inference has failed."""
     if len(batch) == 1:
