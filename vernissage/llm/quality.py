@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -255,15 +256,21 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, key: str = "doc
     return fit_network(x, np.array([r["y"] for r in found]), settings)
 
 
-def score(docs: DataFrame, net: Network, vectors: np.ndarray, text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """All columns of `docs`, with `score` and `predicted` put last."""
+def score(docs: DataFrame, net: Network, vectors: np.ndarray, text: str | list[str] = "text", settings: Settings = Settings()) -> DataFrame:
+    """All columns of `docs`, with `score` and `predicted` put last.
+
+    `text` names the column of texts, or the path to it inside a struct. A row goes
+    to Python as it is, so a text travels once.
+    """
     columns = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    rows = docs.select(F.struct(*columns).alias("doc"), F.col(text).alias("text"))
+    path = [text] if isinstance(text, str) else text
+    rows = docs.select(F.struct(*columns).alias("doc"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                values = net.scores(_pooled_batch(batch.column(1), vectors, settings))
+                texts = pc.struct_field(batch.column(0), path)
+                values = net.scores(_pooled_batch(texts, vectors, settings))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc", "score"])
 
     doc = rows.schema["doc"].dataType.simpleString()
@@ -290,5 +297,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 def accepted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of `docs` that the classifier accepts, same columns."""
-    told = docs.select(F.struct("*").alias("_doc"), "doc_id", "text")
-    return classify(told, labels, carry=["_doc"], settings=settings).filter("predicted = 1").select("_doc.*")
+    vectors = word_vectors(docs, settings=settings)
+    net = fit(docs, labels, vectors, settings=settings)
+    told = score(docs.select(F.struct("*").alias("_doc")), net, vectors, ["_doc", "text"], settings)
+    return told.filter("predicted = 1").select("_doc.*")
