@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vernissage.llm import exact, graph, simhash, substring
+from vernissage.llm import exact, graph, membership, simhash, substring
 from vernissage.session import fresh_path
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -239,3 +239,26 @@ def test_components_of_paths_stars_and_rings(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(200, 260)]} | {300: 300, 301: 300, 302: 300}
     assert got == want
+
+
+def test_bitmaps_miss_no_value(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 50 > 0, F.concat(F.lit("v"), "id")).alias("v"), "id")
+    held = rows.filter("id % 7 = 0")
+    told = membership.with_chance(rows, F.col("v"), membership.bitmap(held, F.col("v"))).collect()
+    assert {r.id for r in told if r.chance} >= {r.id for r in held.collect() if r.v is not None}
+    assert sum(r.chance for r in told) < 500 and not any(r.chance for r in told if r.v is None)
+    none = membership.with_chance(rows, F.col("v"), membership.bitmap(rows.limit(0), F.col("v")))
+    assert none.filter("chance").count() == 0 and none.count() == 3000
+
+
+def test_exact_with_one_hot_digest(spark):
+    rows = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot  text")).otherwise(F.concat(F.lit("text "), F.col("id") % 1500)).alias("text")
+    )
+    assert told(exact.exact_duplicates(spark, rows).drop("content")) == plain_exact(rows.collect())
+    weak = lambda normal: F.when(normal.startswith("text1"), "one").otherwise(F.sha2(normal, 256))
+    got = exact.exact_duplicates(spark, rows, digest=weak).drop("content", "text_sha256")
+    want = Counter()
+    for row, n in plain_exact(rows.collect()).items():
+        want[row[:4]] += n
+    assert told(got) == want

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vernissage.llm.membership import bitmap, with_chance
 from vernissage.llm.text import without_spaces
+from vernissage.operators.joins import HOT_SHARE, spread_lookup
 from vernissage.session import fresh_path, land
 
 # A state row is narrow beside a document, so the state is cut into this part of the shuffle partitions.
@@ -83,6 +85,30 @@ def run_to_end(spark: SparkSession, path: str, schema: T.StructType, checkpoint:
     return state.select("key.digest", F.col("value").getField(state.schema["value"].dataType.names[0]).alias("members"), F.col("value").getField(state.schema["value"].dataType.names[1]).alias("best"))
 
 
+def differing_digests(docs: DataFrame, groups: DataFrame, text: str, digest=sha256) -> DataFrame:
+    """Digests in `groups` (digest, members, best) whose rows do not all have the text of the row that stays.
+
+    Only texts of digests that are met again are shuffled: bitmaps leave out the
+    others. A digest with more than a thousandth of the rows is cut into shares of
+    about that size, each with a copy of the one text, so there are at most two
+    thousand copies.
+    """
+    normal = without_spaces(F.col(text))
+    full = docs.select(digest(normal).alias("digest"), locator(docs, text).alias("content"), normal.alias("normal"))
+    kept = groups.select("digest", F.col("best.content").alias("content"))
+    stays = with_chance(full, F.col("content"), bitmap(kept, F.col("content"))).filter("chance")
+    kept_texts = stays.join(kept, ["digest", "content"]).groupBy("digest").agg(F.min("normal").alias("kept_normal"))
+
+    total = groups.agg(F.sum("members").alias("n")).scalar()
+    shares = F.ceil(F.col("members") * HOT_SHARE / total).cast("int")
+    hot = F.broadcast(groups.filter(F.col("members") * HOT_SHARE > total).select("digest", shares.alias("shares")))
+    members = with_chance(full, F.col("digest"), bitmap(groups, F.col("digest"))).filter("chance").join(hot, "digest", "left")
+    members = members.withColumn("share", F.pmod(F.xxhash64("content"), F.coalesce("shares", F.lit(1))).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share")
+    copies = kept_texts.join(hot, "digest", "left").select("digest", "kept_normal", every)
+    return members.join(copies, ["digest", "share"]).filter("normal <> kept_normal").select("digest").distinct()
+
+
 def exact_duplicates(
     spark: SparkSession,
     docs: DataFrame,
@@ -109,25 +135,23 @@ def exact_duplicates(
     keys = spark.read.parquet(keys_path)
     state = land(run_to_end(spark, keys_path, keys.schema, fresh_path(spark, "dedup-state"), files_per_batch), "dedup-groups")
 
-    shared = state.filter("members > 1")
-    normal = without_spaces(F.col(text))
-    full = docs.select(digest(normal).alias("digest"), locator(docs, text).alias("content"), normal.alias("normal"))
-    members = land(full.join(shared.select("digest", F.col("best.content").alias("kept_content")), "digest"), "dedup-members")
-    kept_texts = members.filter("content = kept_content").groupBy("digest").agg(F.min("normal").alias("kept_normal"))
-    differing = members.join(kept_texts, "digest").filter("normal <> kept_normal").select("digest").distinct()
-    differing = land(differing, "dedup-differing")
+    differing = land(differing_digests(docs, state.filter("members > 1"), text, digest), "dedup-differing")
 
     groups = state.select("digest", "members", "best", F.lit("").alias("variant"))
     told = keys.withColumn("variant", F.lit(""))
     if not differing.isEmpty():
-        apart = full.join(differing, "digest", "left_semi").select(
-            "digest", "content", F.sha2(F.concat(F.lit("other:"), "normal"), 512).alias("variant")
-        ).distinct()
+        normal = without_spaces(F.col(text))
+        full = docs.select(
+            digest(normal).alias("digest"), locator(docs, text).alias("content"),
+            F.sha2(F.concat(F.lit("other:"), normal), 512).alias("variant"),
+        )
+        apart = full.join(differing, "digest", "left_semi").distinct()
         split = keys.join(differing, "digest", "left_semi").join(apart, ["digest", "content"])
         told = told.join(differing, "digest", "left_anti").unionByName(split.select(*told.columns))
         regrouped = group_state(split.withColumn("digest", F.struct("digest", "variant"))).select("digest.digest", "members", "best", "digest.variant")
         groups = groups.join(differing, "digest", "left_anti").unionByName(regrouped)
-    return told.join(groups, ["digest", "variant"]).select(
+    sizes = groups.select("digest", "variant", F.col("members").alias("_n"))
+    return spread_lookup(told, groups, ["digest", "variant"], row_id="row", sizes=sizes).select(
         F.col("key").alias(key),
         F.col("best.key").alias("keep_id"),
         F.col("members").cast("long").alias("group_size"),
@@ -138,9 +162,17 @@ def exact_duplicates(
 
 
 def without_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    stays = exact_duplicates(spark, docs, key, text).filter("kept").select(F.col("content").alias("row"))
-    return rows_at(docs, stays, text)
+    """The rows of `docs` that stay, with all their columns.
+
+    Rows whose locators are not those of a group are passed on without a shuffle.
+    """
+    groups = land(exact_duplicates(spark, docs, key, text).filter("group_size > 1").select("content", "kept"), "dedup-rows")
+    marked = docs.select(F.struct("*").alias("doc"), locator(docs, text).alias("row"))
+    marked = with_chance(marked, F.col("row"), bitmap(groups, F.col("content"))).withColumnRenamed("chance", "grouped")
+    single = marked.filter("not grouped")
+    grouped = marked.filter("grouped").join(groups.groupBy(F.col("content").alias("row")).agg(F.max("kept").alias("stays")), "row", "left")
+    first = grouped.filter("stays").dropDuplicates(["row"])
+    return single.select("doc").unionByName(grouped.filter("stays is null").select("doc")).unionByName(first.select("doc")).select("doc.*")
 
 
 def rows_at(docs: DataFrame, stays: DataFrame, text: str = "text") -> DataFrame:
