@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 import corpus_pipeline
 from tools.check import TABLES, rows_of
+from vernissage import session
 from vernissage.llm import mixing, packing, queries, vectors
 
 SF = "/root/testdata/sf0.001"
@@ -99,6 +100,14 @@ def test_packing(wide_docs, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_packing_spreads_repeated_rows(spark):
+    rows = spark.range(3000).select(F.lit(1).alias("doc_id"), F.lit("s").alias("source"), F.lit("one two three").alias("text"))
+    packed = packing.pack(rows.unionByName(spark.range(5, 205).selectExpr("int(id) doc_id", "'t' source", "concat('w ', id) text")), capacity=100, shard_rows=100)
+    shards = Counter(r.bin >> 32 for r in packed.collect())
+    assert sum(shards.values()) == 3200 and max(shards.values()) < 200
+    assert packed.filter("doc_id = 1").select("bin").distinct().count() == 3000
+
+
 def plain_best_fit(sizes, sources, clusters, capacity, lanes):
     bins, turn, out = [], Counter(), []
     for size, source, cluster in zip(sizes, sources, clusters):
@@ -249,5 +258,12 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
     check_bins(packed, packing.CAPACITY, packing.LANES, lambda r: r.doc_id)
 
 
+def test_pipeline_leaves_its_result_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    rows = corpus_pipeline.run(spark, SF)
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["pipeline"]
+    assert rows.count() > 0 and {"doc_id", "source", "piece", "start", "length", "bin"} <= set(rows.columns)
+
+
 def test_tables_are_known():
     assert {"documents", "embeddings", "conversations", "labels"} <= set(TABLES)

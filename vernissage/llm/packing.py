@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vernissage.llm.membership import bitmap, with_chance
 from vernissage.llm.text import word_count, without_spaces
 from vernissage.session import land
 
@@ -87,7 +88,9 @@ def pack(
     white space and case of A-Z) and at most `lanes` pieces of a source.
 
     Rows are dealt by hash into shards of about `shard_rows` pieces, each
-    packed on its own, longest piece first: ties by key, piece and text. A shard
+    packed on its own, longest piece first: ties by key, piece and text. Rows that
+    agree in key, source and text more often than an eighth of a shard are dealt by
+    their place instead, so a shard stays small whatever is repeated. A shard
     leaves a few bins unfilled, so larger shards pack a little tighter.
 
     A document without words has one row of length 0 and a null bin. Null keys
@@ -101,12 +104,16 @@ def pack(
         (size if size is not None else word_count(text)).cast("long").alias("size"),
         (cluster if cluster is not None else F.xxhash64(letters)).alias("cluster"),
         F.xxhash64(F.col(key), F.col(source), text).alias("hash"),
+        F.monotonically_increasing_id().alias("row"),
     )
     count = F.greatest(F.ceil(F.col("size") / capacity).cast("int"), F.lit(1))
     pieces = items.withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1))).withColumn("start", F.col("piece").cast("long") * capacity)
     pieces = land(pieces.withColumn("length", F.least(F.col("size") - F.col("start"), F.lit(capacity).cast("long"))), "packing-pieces")
     shards = max(1, -(-pieces.filter("length > 0").count() // shard_rows))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("hash", "piece"), F.lit(shards)).cast("int"))
+    often = pieces.filter("piece = 0").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 8 > shard_rows)
+    dealt = with_chance(pieces, F.col("hash"), bitmap(often, F.col("hash")), "often")
+    place_of = F.when(F.col("often"), F.col("row"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("hash", "piece", place_of), F.lit(shards)).cast("int")).drop("row", "often")
     kind = dealt.schema["key"].dataType.simpleString()
 
     def place(table: pa.Table) -> pa.Table:
