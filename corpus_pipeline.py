@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vernissage.llm import exact, mixing, packing, quality, simhash
 from vernissage.llm.text import table
-from vernissage.session import land
+from vernissage.session import fresh_path, landing_scope
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,7 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage; what the stages have written on the way is removed."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = land(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    result = fresh_path(spark, "pipeline")
+    with landing_scope(spark):
+        for name, stage in STAGES:
+            path = result if name == STAGES[-1][0] else fresh_path(spark, f"pipeline-{name.replace(' ', '-')}")
+            with landing_scope(spark):
+                stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
