@@ -42,3 +42,16 @@ def test_texts_are_shuffled_once_and_never_as_ngrams(docs, capsys):
         frame.explain()
         plan = capsys.readouterr().out
         assert plan.count("Exchange") == 1 and "Generate" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("known", [None, {" ab": 7, "ab ": 3, "bcde": 0, "𝄞é ": 5, "zzz": 1}])
+def test_wide_alphabets_give_the_same_ngrams(known):
+    """Past about 6,200 characters the digits of five of them pass 63 bits."""
+    words = ["ab", "abcde", "a𝄞é", "b", "ab"]
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 7000)))
+    for more, wanted in ((words, known), ([*words, wide], known if known is None else known | {c * 3: 10 + i for i, c in enumerate(wide)})):
+        numbers, ends, names = tv.Grams((3, 4, 5), wanted).cut(more)
+        back = dict(enumerate(names)) if wanted is None else {n: g for g, n in wanted.items()}
+        for i, w in enumerate(more):
+            got = sorted(back[n] for n in numbers[ends[i] : ends[i + 1]])
+            assert got == sorted(g for g in tv.word_ngrams(w) if wanted is None or g in wanted)
