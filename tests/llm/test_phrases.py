@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given
@@ -105,3 +107,18 @@ def test_score_is_exact_beyond_64_bits(spark):
     frame = spark.createDataFrame(rows, "a long, n long, l long, r long")
     got = [r[0] for r in frame.select(phrases.cut_score(frame.a, frame.n, frame.l, frame.r)).collect()]
     assert got == [1000 * a * n // (l * r) for a, n, l, r in rows]
+
+
+def test_cells_of_a_part_are_held_once():
+    rng = np.random.default_rng(3)
+    parts = [np.sort(rng.integers(0, 1 << 24, 100_000).astype(np.uint64) * np.uint64(101) + rng.integers(1, 101, 100_000).astype(np.uint64)) for _ in range(10)]
+    sums = Counter()
+    for part in parts:
+        for x in part.tolist():
+            sums[x // 101] += x % 101
+    tracemalloc.start()
+    got = phrases.added_cells(parts, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not parts and peak < 40 * 1_000_000, peak  # cells and weights of their own, put in order, took 71 bytes a phrase
+    assert got.tolist() == [c * 101 + min(n, 100) for c, n in sorted(sums.items())]

@@ -139,13 +139,24 @@ class Part:
                 yield data, start, end, n, at, row[at], bw.mixed(hashes) % np.uint64(width)
 
 
-def _sums(cells: list[np.ndarray], weights: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct cells in order, with the sum of their weights, not above `most`."""
-    cell, weight = np.concatenate([np.zeros(0, np.uint64), *cells]), np.concatenate([np.zeros(0, np.int64), *weights])
-    order = np.argsort(cell)
-    cell, weight = cell[order], weight[order]
+def added_cells(packed: list[np.ndarray], most: int) -> np.ndarray:
+    """Cells with their sums, each as one number: cell * (most + 1) + sum, in order of cells, sums not above `most`.
+
+    The list is emptied: a part's phrases are held once, in one number each.
+    """
+    every = np.concatenate([np.zeros(0, np.uint64), *packed])
+    packed.clear()
+    every.sort()
+    cell, step = every // np.uint64(most + 1), np.uint64(most + 1)
     at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
-    return cell[at], np.minimum(np.add.reduceat(weight, at) if len(at) else weight, most)
+    every %= step
+    total = np.add.reduceat(every, at) if len(at) else every
+    del every
+    cell = cell[at]
+    del at
+    cell *= step
+    cell += np.minimum(total, np.uint64(most), out=total)
+    return cell
 
 
 def phrase_counts(
@@ -176,12 +187,12 @@ def phrase_counts(
 
     def sketch(table: pa.Table) -> pa.Table:
         part = Part(table, longest)
-        cells, sums = [], []
+        packed, step = [], np.uint64(least + 1)
         for *_, row, cell in part.phrases(width):
-            cell, total = _sums([cell], [part.weight[row]], least)
-            cells.append(cell)
-            sums.append(total)
-        cell, total = _sums(cells, sums, least)
+            packed.append(added_cells([cell * step + np.minimum(part.weight[row], least).astype(np.uint64)], least))
+        packed = added_cells(packed, least)
+        cell = packed // step
+        total = packed - cell * step
         bounds, number, out = np.searchsorted(cell, edges), table.column("part")[0].as_py(), []
         for b in np.flatnonzero(np.diff(bounds)).tolist():
             own = slice(bounds[b], bounds[b + 1])
