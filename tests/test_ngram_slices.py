@@ -1,5 +1,6 @@
 """N-gram counts inside slices of documents: repeated and missing ids, many slices, what is shuffled."""
 
+import math
 from collections import Counter
 
 import pytest
@@ -55,3 +56,12 @@ def test_wide_alphabets_give_the_same_ngrams(known):
         for i, w in enumerate(more):
             got = sorted(back[n] for n in numbers[ends[i] : ends[i + 1]])
             assert got == sorted(g for g in tv.word_ngrams(w) if wanted is None or g in wanted)
+
+
+def test_weights_follow_the_positions(spark):
+    """A vocabulary may lack positions, and a row may have no n-gram; the idf values are not copied into rows."""
+    counts = spark.createDataFrame([(1, [0, 5], [1, 3]), (2, [], []), (None, [5], [2])], "id long, idx array<int>, tf array<bigint>")
+    fitted = spark.createDataFrame([("a", 5, 3.0), ("b", 0, 2.0)], "ngram string, position int, idf double")
+    got = {r.id: r.val for r in tv.weigh(counts, fitted).collect()}
+    raw = [2.0, (1 + math.log(3)) * 3.0]
+    assert got[1] == pytest.approx([x / math.hypot(*raw) for x in raw]) and got[2] == [] and got[None] == pytest.approx([1.0])
