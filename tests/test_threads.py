@@ -1,12 +1,13 @@
 """Jobs that run at the same time share nothing, nor do tables of different evidence."""
 
+import os
 from threading import Barrier
 
 from pyspark.sql import functions as F
 
 from vernissage.operators import models
 from vernissage.plans import modelling
-from vernissage.session import land
+from vernissage.session import land, land_once, shared_dir
 
 
 def test_items_have_their_own_properties(spark):
@@ -32,3 +33,17 @@ def test_vectors_belong_to_their_evidence(spark, monkeypatch):
         monkeypatch.setattr(modelling, "evidence", lambda spark, sf, rows=rows: rows)
         assert modelling.assembled(spark, "/root/testdata/sf0.001", seed=5)[0].count() == n
         assert modelling.encodings_of(spark, "/root/testdata/sf0.001", seed=5).count() == n
+
+
+def test_steps_of_a_table_are_removed(spark):
+    """Steps of the evidence stayed on disk as long as the session, next to what was made from them."""
+    told = land(spark.range(9), "told")
+    before = set(os.listdir(shared_dir(spark)))
+
+    def build():
+        inner = land_once(spark, ("inner-table", "here"), lambda: land(told.filter("id > 1"), "inner-step"), told)
+        return land(inner, "step").join(land(told, "other-step"), "id")
+
+    found = land_once(spark, ("outer-table", "here"), build, told)
+    new = set(os.listdir(shared_dir(spark))) - before
+    assert found.count() == 7 and {n.rsplit("-", 1)[0] for n in new} == {"inner-table", "outer-table"}
